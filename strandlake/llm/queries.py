@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, secrets
+from strandlake.llm import graphdedup, mixing, secrets, simhash, tokenfiles
 from strandlake.plans.shared import written
 
 
@@ -31,8 +31,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphdedup.near_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.token_offsets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.components(_documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_graph_components": op2_graph_components,
+    "op3_token_files": op3_token_files,
+    "op7_simhash_components": op7_simhash_components,
     "op10_secret_scan": op10_secret_scan,
 }
 
