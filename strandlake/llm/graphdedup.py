@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.batches import drawn
 from strandlake.operators.graph import connected_components
 from strandlake.plans.shared import discard, written
 
@@ -67,14 +68,13 @@ def _unit(rows: pd.Series) -> np.ndarray:
 def fit_centroids(classes: DataFrame, *, sample: int = SAMPLE, shard: int = SHARD) -> dict:
     """{(label, dimension): centroids}, from at most ``sample`` classes with the least hashes."""
     counts = classes.groupBy("label", "dim").count()
-    drawn = classes.select("label", "dim", "vec").orderBy(F.xxhash64("label", "vec"), "vec").limit(sample).toPandas()
+    some = drawn(classes.select("label", "dim", "vec", "cid"), "centroids", sample, "cid").toPandas()
     sizes = {}
-    if len(drawn):
-        keys = drawn[["label", "dim"]].drop_duplicates()
-        some = classes.sparkSession.createDataFrame(keys)
-        sizes = {(r["label"], r["dim"]): r["count"] for r in counts.join(F.broadcast(some), ["label", "dim"], "left_semi").collect()}
+    if len(some):
+        keys = classes.sparkSession.createDataFrame(some[["label", "dim"]].drop_duplicates())
+        sizes = {(r["label"], r["dim"]): r["count"] for r in counts.join(F.broadcast(keys), ["label", "dim"], "left_semi").collect()}
     out, rng = {}, np.random.default_rng(5)
-    for key, rows in drawn.groupby(["label", "dim"]):
+    for key, rows in some.groupby(["label", "dim"]):
         x = _unit(rows["vec"])
         k = int(max(1, min(-(-sizes[key] // shard), len(x) // 8)))
         c = x[rng.choice(len(x), k, replace=False)]
@@ -293,7 +293,7 @@ def _search(rows: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
 
 def _audit(classes: DataFrame, counted: DataFrame, threshold: float, most: int) -> float:
     """Recall of links on the ``most`` classes of least hash, each compared with every class in blocks."""
-    asked = classes.select("label", "dim", "vec", "cid").orderBy(F.xxhash64(F.lit(11), "cid")).limit(most).toPandas()
+    asked = drawn(classes.select("label", "dim", "vec", "cid"), "audit", most, "cid").toPandas()
     if not len(asked):
         return 1.0
     groups = {key: (_unit(g["vec"]), g["cid"].to_numpy()) for key, g in asked.groupby(["label", "dim"])}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import graphdedup, mixing, secrets, simhash, tokenfiles
+from strandlake.llm import graphdedup, langid, mixing, pieces, quality, rules, secrets, simhash, tokenfiles, urlfilter
 from strandlake.plans.shared import written
 
 
@@ -15,6 +15,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.draw_key(F.col("doc_id"), F.col("text")).alias("_mix_key"))
@@ -23,6 +29,14 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op8_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_documents(spark, sf_dir), keep_text=False)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -36,9 +50,19 @@ def op2_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return tokenfiles.token_offsets(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
-    return tokenfiles.token_offsets(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(_documents(spark, sf_dir))
+
+
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +71,19 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pareto_mix": op1_pareto_mix,
-    "op2_graph_components": op2_graph_components,
-    "op3_token_files": op3_token_files,
-    "op7_simhash_components": op7_simhash_components,
-    "op10_secret_scan": op10_secret_scan,
+    f.__name__: f
+    for f in (
+        op1_pareto_mix,
+        op2_graph_components,
+        op3_token_files,
+        op4_neighbour_quality,
+        op5_rule_cascade,
+        op6_url_trees,
+        op7_simhash_components,
+        op8_piece_viterbi,
+        op9_language_hierarchy,
+        op10_secret_scan,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -25,11 +25,11 @@ gives an empty table and no file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,16 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.batches import Recent
 from strandlake.plans.shared import new_path, written
 
 MAGIC = b"SLTOK1"
 HEAD = struct.Struct("<6sBBIIQQQ")
 END_ID = 0
 BLOCK_IDS = 2_000_000
-CACHE = 300_000
-# Runs of spaces or newlines start a chunk; the vocabulary's pattern never joins text across such a place.
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+CACHE = 400_000
+JOIN = 2000
 
 
 # Elias-Fano ---------------------------------------------------------------------------
@@ -146,30 +145,57 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as bytes. Chunks seen before come from a bounded cache; the others go to the tokenizer."""
+    """Ids of texts as bytes.
+
+    The vocabulary's pattern never joins text across the start of a run of spaces or newlines, so
+    a text is cut there and the parts seen before come from a bounded cache. New parts of
+    a batch are joined to one string for the tokenizer; the ids' lengths in bytes, which a byte-level
+    vocabulary fixes, tell the parts apart again.
+    """
 
     def __init__(self, path: str):
         self._made = _tokenizer(path)
-        self.width = 2 if self._made.get_vocab_size() <= 1 << 16 else 4
+        size = self._made.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self._kind = f"<u{self.width}"
-        self._cache: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self._kind).tobytes() for e in self._made.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if OTHER_SPACE.search(text):
-                yield self._encode([text])[0]
-                continue
-            chunks = CHUNK.findall(text)
-            cache = self._cache
-            if len(cache) > CACHE:
-                cache.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in cache]
-            if new:
-                cache.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(cache.__getitem__, chunks))
+        self._cache = Recent(CACHE)
+        # A byte-level vocabulary writes each byte as one character.
+        self._lengths = np.array([len(self._made.id_to_token(i) or "") for i in range(size)], np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._made.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._kind)
+
+    def _parts(self, text: str) -> list[str]:
+        """Keys of a text's parts: a word for itself after a space, newline and word, NUL and word for the word itself.
+
+        Texts with other white space, or white space at an end or twice together, are one part.
+        """
+        parts = ("\0" + text.replace("\n", " \n")).split(" ")
+        return parts if len(parts) == len(text.split()) and "\0" not in text else ["\0" + text]
+
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        made, after = {}, []
+        for key in keys:
+            if key[0] == "\0":
+                made[key] = self._ids(key[1:]).tobytes()
+            else:
+                after.append(key)
+        for lo in range(0, len(after), JOIN):
+            some = after[lo : lo + JOIN]
+            written = [k if k[0] == "\n" else " " + k for k in some]
+            ids = self._ids("".join(written))
+            ends = np.cumsum(self._lengths[ids])
+            stop = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in written]), side="left") + 1
+            at = 0
+            for key, to in zip(some, stop.tolist(), strict=True):
+                made[key] = ids[at:to].tobytes()
+                at = to
+        return made
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [self._parts(t) if t else [] for t in texts]
+        known = self._cache.known(set(chain.from_iterable(cut)), self._learn)
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> Iterator[pa.RecordBatch]:
@@ -185,8 +211,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> It
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
 
     for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            raw = next(encoder.texts([text.as_py() or ""])) + end
+        made = (raw for lo in range(0, batch.num_rows, 256) for raw in encoder.texts(batch["text"].slice(lo, 256).to_pylist()))
+        for doc, raw in zip(batch["doc_id"].to_pylist(), made, strict=True):
+            raw += end
             ids.append(raw)
             docs.append(doc)
             lengths.append(len(raw) // encoder.width)
