@@ -32,7 +32,7 @@ from strandlake.llm.batches import bound_batches, drawn, held_out
 MOST_TRAIN = 4000
 RANK = 48
 NEIGHBOURS = 25
-POWER = 6
+POWER = 40
 WORDS = 2048
 THRESHOLD = 0.3
 BLOCK = 256
