@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import graphdedup, langid, mixing, pieces, quality, rules, secrets, simhash, tokenfiles, urlfilter
+from strandlake.llm.oracles import ORACLES  # noqa: F401
 from strandlake.plans.shared import written
 
 
@@ -85,5 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
     )
 }
-
-ORACLES: dict[str, str] = {}

@@ -110,7 +110,7 @@ def _share(hits: int, percent: int, whole: int) -> bool:
 RULES: dict[str, Callable[[Doc], bool]] = {
     "word_length": lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words,
     "symbols": lambda d: 10 * d.n_symbols > d.n_words,
-    "repeated_lines": lambda d: _share(d.n_dup_lines, 30, len(d.lines)),
+    "repeated_lines": lambda d: d.n_dup_lines >= 3 and _share(d.n_dup_lines, 30, len(d.lines)),
     "bullets": lambda d: _share(sum(x.startswith(BULLETS) for x in d.lines), 90, len(d.lines)),
     "ellipses": lambda d: _share(sum(x.endswith(("...", "…")) for x in d.lines), 30, len(d.lines)),
     "letterless": lambda d: _share(sum(not LETTER.search(w) for w in d.strings), 30, d.n_words),
