@@ -198,11 +198,17 @@ class Encoder:
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, whose cache serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, block = TaskContext.get().partitionId(), 0
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     end = np.array([END_ID], f"<u{encoder.width}").tobytes()
     ids, docs, lengths, total = [], [], [], 0
 
