@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.batches import Recent, bound_batches
 
 MARK = "▁"
-CACHE = 400_000
+CACHE = 200_000
 SOME = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -271,7 +271,7 @@ class Pieces:
                 a, limit, of_right = sa[1], ra, False
             else:
                 b, limit, of_right = sb[0], rb, True
-        if len(self._stable) > 2 * CACHE:
+        if len(self._stable) > CACHE:
             self._stable.clear()
         self._stable[left, right] = ok
         return ok
