@@ -13,8 +13,8 @@ relaxes the best path to that position from the best path to the piece's start.
 
 Characters outside the vocabulary become byte pieces where the model has byte fallback. Spaces are
 written as U+2581 with one in front where the model says so. Chunks that start with such a mark
-are encoded apart when no piece has a mark after another character, and remembered in a
-bounded cache. Runs of marks, whose pieces can share one score, are merged directly.
+are encoded apart when no piece has a mark after another character (and words and runs of
+punctuation when no piece joins the two), and remembered in a bounded cache. Runs of marks, whose pieces can share one score, are merged directly.
 
 Only models whose normalizer changes nothing but spaces are taken; others raise
 ValueError. Decoding joins pieces and bytes, and drops the mark in front.
@@ -47,6 +47,9 @@ SOME = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 ALL_MARKS = re.compile(f"{MARK}{{2,}}")
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+POINTS = r"\n.,;:!?|%$#&*"
+JOINS = re.compile(f"[{LATIN}][{POINTS}]|[{POINTS}][{LATIN}]")
 
 
 # The model file: a protocol buffer --------------------------------------------------------
@@ -125,7 +128,9 @@ class Pieces:
         self.automaton.make_automaton()
         self.least = min((model.scores[i] for _, i in usable), default=0.0) - 10.0
         self.apart = not any(MARK in p.lstrip(MARK) for p, _ in usable)
-        self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        finer = f"{MARK}?[{LATIN}]++(?=[{POINTS}{MARK}]|$)|[{POINTS}]++(?=[{LATIN}{MARK}]|$)|" if not any(map(JOINS.search, self.ids)) else ""
+        self.chunk = re.compile(f"{finer}{MARK}*[^{MARK}]+|{MARK}+")
+        self._letters = {p for p in self.ids if len(p) == 1}
         self._cache = Recent(CACHE)
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._stable: dict[tuple[int, int], bool] = {}
@@ -202,28 +207,31 @@ class Pieces:
         return self._walk(last, n)
 
     def _bpe_path(self, text: str) -> list[tuple[int, int, int]]:
-        n = len(text)
-        last: list = [(-2, 0)] + [None] * n
-        ends = iter([*self.automaton.iter(text), (n, (0, 0))])
-        end, (size, piece) = next(ends)
-        stable, known = self._is_stable, self._stable
-        for at in range(1, n + 1):
-            while end == at - 1:
-                start = at - size
-                if last[at] is None and last[start] is not None and self._own(piece):
-                    before = last[start][0]
-                    ok = before < 0
-                    if not ok:
-                        pair = (before, piece)
-                        ok = known.get(pair)
-                        if ok is None:
-                            ok = stable(before, piece)
-                    if ok:
-                        last[at] = (piece, start)
-                end, (size, piece) = next(ends)
-            if last[at] is None:
-                last[at] = (-1, at - 1)
-        return self._walk(last, n)
+        n, known, stable = len(text), self._stable, self._is_stable
+        last, begin = [-2] + [None] * n, [0] * (n + 1)
+        if not self._letters.issuperset(text):
+            for i, c in enumerate(text, 1):  # no piece ends at a character outside the vocabulary
+                if c not in self._letters:
+                    last[i], begin[i] = -1, i - 1
+        for end, (size, piece) in self.automaton.iter(text):
+            end += 1
+            if last[end] is not None:
+                continue
+            start = end - size
+            before = last[start]
+            if before < 0:
+                ok = self._own(piece)
+            else:
+                ok = known.get((before, piece))
+                if ok is None:
+                    ok = self._own(piece) and stable(before, piece)
+            if ok:
+                last[end], begin[end] = piece, start
+        path = []
+        while n:
+            path.append((last[n], begin[n], n))
+            n = begin[n]
+        return path[::-1]
 
     def _own(self, piece: int) -> bool:
         """Whether merging a piece's characters gives that piece."""
