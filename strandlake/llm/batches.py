@@ -33,14 +33,17 @@ def drawn(df: DataFrame, seed: str, most: int, *columns: str) -> DataFrame:
 
 
 class Recent:
-    """A bounded cache of two generations: entries in use move on to the new one when it begins."""
+    """A bounded cache of two generations: entries in use move on to the new one when it begins.
+
+    Entries of long keys and empty entries serve one call; ``empty`` has the keys of the latter.
+    """
 
     def __init__(self, size: int, longest: int = 64):
-        self.size, self.longest, self._new, self._old, self._long = size, longest, {}, {}, []
+        self.size, self.longest, self.empty, self._new, self._old, self._brief = size, longest, set(), {}, {}, []
 
     def known(self, keys: set[str], learn) -> dict[str, bytes]:
         """A dictionary that has all ``keys`` until the next call; ``learn`` makes those of a list that are new."""
-        for k in self._long:
+        for k in self._brief:
             self._new.pop(k, None)
         if len(self._new) >= self.size:
             self._old, self._new = self._new, {}
@@ -48,10 +51,14 @@ class Recent:
         kept = missing.intersection(self._old)
         self._new.update({k: self._old[k] for k in kept})
         missing -= kept
-        if missing:
-            self._new.update(learn(list(missing)))
-        self._long = [k for k in missing if len(k) > self.longest]
+        made = learn(list(missing)) if missing else {}
+        self._new.update(made)
+        self.empty = {k for k, v in made.items() if not v}
+        self._brief = [k for k in made if len(k) > self.longest] + list(self.empty)
         return self._new
 
+    def get(self, key: str) -> bytes | None:
+        return self._new.get(key) or self._old.get(key)
+
     def __len__(self) -> int:
         return len(self._new) + len(self._old)

@@ -29,15 +29,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.batches import Recent
+from strandlake.llm.batches import Recent, bound_batches
 from strandlake.plans.shared import new_path, written
 
 MAGIC = b"SLTOK1"
@@ -46,6 +46,7 @@ END_ID = 0
 BLOCK_IDS = 2_000_000
 CACHE = 400_000
 JOIN = 2000
+SOME = 256
 
 
 # Elias-Fano ---------------------------------------------------------------------------
@@ -148,9 +149,9 @@ class Encoder:
     """Ids of texts as bytes.
 
     The vocabulary's pattern never joins text across the start of a run of spaces or newlines, so
-    a text is cut there and the parts seen before come from a bounded cache. New parts of
-    a batch are joined to one string for the tokenizer; the ids' lengths in bytes, which a byte-level
-    vocabulary fixes, tell the parts apart again.
+    a text is cut there and the parts seen before come from a bounded cache. Nor does it join a letter and a point or
+    comma after it, so a new part that ends so takes its word's ids. New words of a batch are joined to one string
+    for the tokenizer; the ids' lengths in bytes, which a byte-level vocabulary fixes, tell them apart again.
     """
 
     def __init__(self, path: str):
@@ -161,25 +162,34 @@ class Encoder:
         self._cache = Recent(CACHE)
         # A byte-level vocabulary writes each byte as one character.
         self._lengths = np.array([len(self._made.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._points = {c: self._ids(c).tobytes() for c in ".,;:!?"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._made.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._kind)
 
-    def _parts(self, text: str) -> list[str]:
-        """Keys of a text's parts: a word for itself after a space, newline and word, NUL and word for the word itself.
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of parts: a word for itself after a space, newline and word, NUL and word for the word itself.
 
-        Texts with other white space, or white space at an end or twice together, are one part.
+        A part without a word, or with other white space in it, has none: such texts are encoded whole.
         """
-        parts = ("\0" + text.replace("\n", " \n")).split(" ")
-        return parts if len(parts) == len(text.split()) and "\0" not in text else ["\0" + text]
-
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        made, after = {}, []
+        made, after, ended = {}, {}, []
         for key in keys:
-            if key[0] == "\0":
-                made[key] = self._ids(key[1:]).tobytes()
+            word = key[1:] if key[:1] in ("\0", "\n") else key
+            if word.split() != [word]:
+                made[key] = b""
+            elif key[0] == "\0":
+                made[key] = self._ids(word).tobytes()
+            elif word[-1] in self._points and word[-2:-1].isalpha():
+                base = key[:-1]
+                ids = self._cache.get(base)
+                if ids is None:
+                    after[base] = None
+                    ended.append(key)
+                else:
+                    made[key] = ids + self._points[key[-1]]
             else:
-                after.append(key)
+                after[key] = None
+        after = list(after)
         for lo in range(0, len(after), JOIN):
             some = after[lo : lo + JOIN]
             written = [k if k[0] == "\n" else " " + k for k in some]
@@ -190,12 +200,42 @@ class Encoder:
             for key, to in zip(some, stop.tolist(), strict=True):
                 made[key] = ids[at:to].tobytes()
                 at = to
+        for key in ended:
+            made[key] = made[key[:-1]] + self._points[key[-1]]
         return made
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) if t else [] for t in texts]
-        known = self._cache.known(set(chain.from_iterable(cut)), self._learn)
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+    def texts(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Ids of each text. Arrow cuts the texts and numbers the distinct parts; only these reach Python."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = pc.list_flatten(cut).dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        known = self._cache.known(set(keys), self._learn)
+        made = list(map(known.__getitem__, keys))
+        size = np.fromiter(map(len, made), np.int32, len(made)) // self.width
+        ids = np.frombuffer(b"".join(made), self._kind)
+        first = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+        part = coded.indices.to_numpy()
+        edges = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]
+        whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        if self._cache.empty:
+            empty = np.flatnonzero(size[part] == 0)
+            whole[np.searchsorted(edges, empty, side="right") - 1] = True
+        for lo in range(0, len(texts), SOME):
+            hi = min(lo + SOME, len(texts))
+            some = part[edges[lo] : edges[hi]]
+            n = size[some]
+            to = np.cumsum(n, dtype=np.int64)
+            flat = ids[np.repeat(first[some] - (to - n).astype(np.int32), n) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)]
+            ends = np.r_[0, to][edges[lo + 1 : hi + 1] - edges[lo]].tolist()
+            raw, at = memoryview(flat.tobytes()), 0
+            for i, end in enumerate(ends, lo):
+                if whole[i]:
+                    text = texts[i].as_py()
+                    yield self._ids(text).tobytes() if text else b""
+                else:
+                    yield bytes(raw[at * self.width : end * self.width])
+                at = end
 
 
 @lru_cache(2)
@@ -217,8 +257,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> It
         return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
 
     for batch in batches:
-        made = (raw for lo in range(0, batch.num_rows, 256) for raw in encoder.texts(batch["text"].slice(lo, 256).to_pylist()))
-        for doc, raw in zip(batch["doc_id"].to_pylist(), made, strict=True):
+        for doc, raw in zip(batch["doc_id"].to_pylist(), encoder.texts(batch["text"]), strict=True):
             raw += end
             ids.append(raw)
             docs.append(doc)
@@ -234,6 +273,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> It
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write its files to the folder ``path``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -252,7 +292,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 b = Block(data)
                 ends = b.bounds.all()
                 starts = np.r_[0, ends[:-1]]
-                crc = [zlib.crc32(b.ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
+                wide = memoryview(b.ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 ids = pd.array(b.doc_ids, dtype="Int64")
                 ids[: b.nulls] = pd.NA
                 yield pd.DataFrame({"part": b.part, "block": b.block, "place": np.arange(b.n), "doc_id": ids, "begin": starts, "n_tokens": ends - starts, "ids_crc32": crc})
