@@ -83,8 +83,8 @@ def first_altloc(rows: DataFrame, residue: Sequence[str], order: Sequence[str],
     """Rows without an alternative location, and of each residue those of its first alphanumeric one."""
     w = Window.partitionBy(*residue)
     named = F.col(altloc).rlike("^[A-Za-z0-9]$")
-    first = F.min(F.when(named, F.struct(*order, altloc))).over(w)
-    return rows.withColumn("_first", first[altloc]).where(~F.coalesce(named, F.lit(False)) | (F.col(altloc) == F.col("_first"))).drop("_first")
+    first = F.min(F.when(named, F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.col(altloc).alias("_a")))).over(w)
+    return rows.withColumn("_first", first["_a"]).where(~F.coalesce(named, F.lit(False)) | (F.col(altloc) == F.col("_first"))).drop("_first")
 
 
 def highest_occupancy_altloc(rows: DataFrame, residue: Sequence[str], altloc: str = "altloc_id", occupancy: str = "occupancy") -> DataFrame:

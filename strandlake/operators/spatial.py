@@ -71,7 +71,7 @@ def rdf(points: DataFrame, *, radius: float, bins: int, by: Sequence[str] = (),
     at = F.least(F.floor(F.sqrt("dist2") / width), F.lit(bins - 1))
     counts = pairs.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("pairs"))
     sizes = points.groupBy(*by).agg(F.count("*").alias("_n"))
-    grid = sizes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    grid = sizes.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     out = grid.join(counts, [*by, "bin"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     shell = F.lit(4 / 3 * math.pi * width**3) * (F.pow(F.col("bin") + 1, F.lit(3)) - F.pow(F.col("bin"), F.lit(3)))
     return out.select(*by, "bin", "pairs", (F.col("pairs") / F.col("_n") / shell / (F.col("_n") / F.lit(float(volume)))).alias("g"))

@@ -64,7 +64,7 @@ def symbol_frequency(spark, sf_dir):
 
 
 def _weight_sql(table_: dict[str, float], water: float) -> str:
-    return f"round({water}" + "".join(f" + (length(seq) - length(replace(seq, '{a}', ''))) * {w}" for a, w in table_.items()) + ", 3)"
+    return f"round({water}::DOUBLE" + "".join(f" + (length(seq) - length(replace(seq, '{a}', ''))) * {w}::DOUBLE" for a, w in table_.items()) + ", 3)"
 
 
 @query(
@@ -312,7 +312,7 @@ def seed_extension(spark, sf_dir):
 
 # Annotations ----------------------------------------------------------------------------
 
-_FEATURES = """f AS (SELECT user_id, event_id AS feature_id, event_type AS key, (epoch(ts)::BIGINT // 60) % 20000 AS first, (epoch(ts)::BIGINT // 60) % 20000 + floor(abs(value))::BIGINT AS last FROM events)"""
+_FEATURES = """f AS (SELECT user_id, event_id AS feature_id, event_type AS key, (floor(epoch(ts))::BIGINT // 60) % 20000 AS first, (floor(epoch(ts))::BIGINT // 60) % 20000 + floor(abs(value))::BIGINT AS last FROM events)"""
 
 
 def _features(spark, sf_dir):

@@ -94,9 +94,9 @@ def linear_continuity(spark, sf_dir):
     return filters.linear_continuity(points(spark, sf_dir), ["chain_id"], ["atom_idx"], ("x", "y", "z"), 1.0, 2.0).select("atom_idx", "continuous")
 
 
-@query(f"SELECT {LINES} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINES}) AS n FROM lineitem) WHERE n > 1")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINES}) AS n FROM lineitem) WHERE n > 1")
 def duplicate_rows(spark, sf_dir):
-    return filters.duplicates(table(spark, sf_dir, "lineitem"), [], LINE, ["l_orderkey", "l_linenumber"]).select(*LINE)
+    return filters.duplicates(table(spark, sf_dir, "lineitem"), [], LINE, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 @query(
@@ -448,8 +448,10 @@ def molecules(spark, sf_dir):
 
 @query()
 def rotatable_bonds(spark, sf_dir):
-    rows = _edges(spark, sf_dir).withColumn("mol", F.col("atom1") % 97)
-    return bonds.rotatable(bonds.normalized(rows, by=["mol"], order="ord").withColumn("bond_type", F.lit(1).cast("long")), "mol")
+    """Bridges of each supplier's graph of orders and parts."""
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows.select(F.col("l_suppkey").alias("mol"), F.col("l_orderkey").alias("atom1"), (F.col("l_partkey") + 1_000_000_000).alias("atom2"), F.lit(bonds.SINGLE).cast("long").alias("bond_type"))
+    return bonds.rotatable(bonds.normalized(rows, by=["mol"]), "mol")
 
 
 # Encodings, search, trees ---------------------------------------------------------------
@@ -458,7 +460,7 @@ def rotatable_bonds(spark, sf_dir):
 @query(
     f"""WITH d AS (SELECT l_orderkey, l_linenumber - coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY {LINES}), 0) AS delta, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINES}) AS i FROM lineitem),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY l_orderkey, delta ORDER BY i) AS island FROM d)
-SELECT l_orderkey, min(i) - 1 AS start, delta, count(*) AS n FROM g GROUP BY l_orderkey, delta, island"""
+SELECT l_orderkey, min(i) - 1 AS start, delta::BIGINT AS delta, count(*) AS n FROM g GROUP BY l_orderkey, delta, island"""
 )
 def integer_delta_rle(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)) - 1)
