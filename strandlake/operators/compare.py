@@ -111,7 +111,7 @@ def fit(fixed: DataFrame, mobile: DataFrame, *, atom: Sequence[str], by: Sequenc
 
 def moved(mobile: DataFrame, fits: DataFrame, by: Sequence[str]) -> DataFrame:
     """The mobile atoms under their group's fit."""
-    rows = mobile.join(F.broadcast(fits), list(by)) if not by else mobile.join(fits, list(by))
+    rows = mobile.join(fits, list(by)) if by else mobile.crossJoin(F.broadcast(fits))  # without keys there is one fit
     d = [F.col(c) - F.col(f"c{c}") for c in XYZ]
     new = [sum((F.col(f"r{i}{j}") * d[j - 1] for j in (1, 2, 3)), F.col(f"fc{c}")) for i, c in zip((1, 2, 3), XYZ, strict=True)]
     return rows.select(*[c for c in mobile.columns if c not in XYZ], *[n.alias(c) for n, c in zip(new, XYZ, strict=True)])
@@ -132,7 +132,7 @@ def superimpose_without_outliers(fixed: DataFrame, mobile: DataFrame, *, atom: S
         d2 = _pairs(fixed, now.join(anchors, [*by, *atom], "left_semi"), atom).withColumn("_d", _square())
         low, high = (F.percentile("_d", F.lit(q)) for q in quantiles)
         limit = d2.groupBy(*by).agg((high + factor * (high - low)).alias("_limit"))
-        kept = written(d2.join(limit, list(by)).where("_d <= _limit").select(*by, *atom), "anchors")
+        kept = written((d2.join(limit, list(by)) if by else d2.crossJoin(F.broadcast(limit))).where("_d <= _limit").select(*by, *atom), "anchors")
         smallest = kept.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
         if kept.count() == anchors.count() or smallest < least:
             break

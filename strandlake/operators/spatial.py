@@ -154,7 +154,7 @@ def sasa(atoms: DataFrame, *, probe: float = 1.4, points: int = 1000, most_radiu
                 continue
             size = q + probe
             free = np.ones(points, bool)
-            if others is not None and len(others):
+            if isinstance(others, (list, np.ndarray)) and len(others):
                 o = np.stack([np.asarray(v, float) for v in others])
                 d = (np.array([a, b, c]) + unit * size)[:, None] - o[None, :, :3]
                 free = ~((d**2).sum(axis=2) < (o[:, 3] + probe) ** 2).any(axis=1)
@@ -162,4 +162,4 @@ def sasa(atoms: DataFrame, *, probe: float = 1.4, points: int = 1000, most_radiu
         return pd.Series(out)
 
     args = [F.col(c).cast("double") for c in (*XYZ, "radius")]
-    return rows.select(*by, id, area(*args, F.col("_near")).alias("sasa"))
+    return rows.select(*by, id, F.coalesce(area(*args, F.col("_near")), F.lit(float("nan"))).alias("sasa"))

@@ -181,5 +181,5 @@ _ESCAPE = re.compile(r'([\\"])')
 
 def term_text(term: str, field_name: str | None = None) -> str:
     """The text form of one search term, quoted where it has blanks."""
-    body = f'"{_ESCAPE.sub(chr(92) + chr(92) + r"1", term)}"' if " " in term else term
+    body = f'"{_ESCAPE.sub(lambda m: chr(92) + m[1], term)}"' if " " in term else term
     return body if field_name is None else f"{body}[{field_name}]"
