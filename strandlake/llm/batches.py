@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 BATCH = "16m"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches end at about 16 MB of data, so long texts make small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+def bound_batches(spark: SparkSession, size: str = BATCH) -> None:
+    """Arrow batches end at about ``size`` of data, so long texts make small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

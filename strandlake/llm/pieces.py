@@ -126,7 +126,10 @@ class Pieces:
         for p, i in usable:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        # Path scores are single precision, as files have them, so that near-ties fall alike.
         self.least = min((model.scores[i] for _, i in usable), default=0.0) - 10.0
+        top = max((model.scores[i] for _, i in usable), default=0.0)
+        self._gain = [len(p.encode()) * top - 0.1 if k == USER else v for p, v, k in zip(model.pieces, model.scores, model.kinds, strict=True)]
         self.apart = not any(MARK in p.lstrip(MARK) for p, _ in usable)
         finer = f"{MARK}?[{LATIN}]++(?=[{POINTS}{MARK}]|$)|[{POINTS}]++(?=[{LATIN}{MARK}]|$)|" if not any(map(JOINS.search, self.ids)) else ""
         self.chunk = re.compile(f"{finer}{MARK}*[^{MARK}]+|{MARK}+")
@@ -185,7 +188,7 @@ class Pieces:
         return path[::-1]
 
     def _unigram_path(self, text: str) -> list[tuple[int, int, int]]:
-        n, scores, kinds = len(text), self.model.scores, self.model.kinds
+        n, gain, single_precision = len(text), self._gain, np.float32
         best = [0.0] + [None] * n
         last: list = [None] * (n + 1)
         ends = iter([*self.automaton.iter(text), (n, (0, 0))])
@@ -194,14 +197,13 @@ class Pieces:
             single = False
             while end == at - 1:
                 start = at - size
-                # A piece that the user defined always wins, as a bonus that grows with its length.
-                score = best[start] + (scores[piece] if kinds[piece] != USER else size * 1e3 - 0.1)
+                score = float(single_precision(best[start] + gain[piece]))
                 if best[at] is None or score > best[at]:
                     best[at], last[at] = score, (piece, start)
                 single |= size == 1
                 end, (size, piece) = next(ends)
             if not single:
-                score = best[at - 1] + self.least
+                score = float(single_precision(best[at - 1] + self.least))
                 if best[at] is None or score > best[at]:
                     best[at], last[at] = score, (-1, at - 1)
         return self._walk(last, n)
@@ -329,7 +331,7 @@ class Pieces:
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> Column:
     """Struct (ids array, n_pieces, ids_crc32, round_trip) for a text column."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, "4m")
 
     @F.pandas_udf("ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -5,13 +5,14 @@ repeats included, joined by a space (fewer words: the whole sequence), XXH64 of
 UTF-8 with seed 42; a bit is 1 if set in more than half of the hashes. Without a word
 the fingerprint is zero.
 
-The self-join works on distinct fingerprints. Two that differ in at most ``budget`` bits
-agree in one of ``budget + 1`` blocks of bits, so each fingerprint is dealt once for each block
-to the group of its block's value. Groups over ``GROUP`` rows are dealt once more by blocks of the
-remaining bits, which is as exact. Within a group, fingerprints in order form a binary
+The self-join works on distinct fingerprints. Of ``BLOCKS`` blocks of bits, two fingerprints that differ in at
+most ``budget`` bits have one with at most budget // BLOCKS differing bits: none for a budget of 3, one for 4 to 7. So
+each fingerprint is dealt to a group for each block's value without any choice of that many of its bits (4 groups,
+or 64). Groups over ``GROUP`` rows are dealt once more in the same way by the remaining bits, which is as exact.
+Budgets above 3 find nearer misses at a price: their groups are larger, and so is the work in them. Within a group, fingerprints in order form a binary
 trie; node pairs are traversed together from the root, differing bits add up, and a pair
 is pruned when they exceed the budget. The traversal runs over all groups of a task
-at once, level by level, in bounded chunks; passes with budgets 1 and up let later passes
+at once, level by level, in bounded chunks; passes with smaller budgets first let later passes
 prune node pairs that are already in one component, so a clump of near copies does not
 cost the square of its size in output: a group emits a spanning forest only, with few links
 at any one node. Forests of all groups meet in ``connected_components``.
@@ -24,6 +25,7 @@ other); repeated rows are documents of one component; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,9 @@ from strandlake.plans.shared import discard, written
 SHINGLE = 3
 BUDGET = 3
 SEED = 42
+BLOCKS = 4
 GROUP = 200_000
+GROUP_WIDE = 5_000
 CHUNK = 400_000
 FAN = 32
 SLICE = 1 << 16
@@ -91,17 +95,19 @@ def trie_components(keys: np.ndarray, fps: np.ndarray, budget: int) -> np.ndarra
 
     A label is the position of the component's first element.
     """
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])] if len(fps) else np.zeros(0, bool)
+    if not fresh.all():  # equal ones stand for each other
+        at = np.flatnonzero(fresh)
+        return at[trie_components(keys[at], fps[at], budget)][np.cumsum(fresh) - 1]
     n = len(fps)
     lab = np.arange(n)
     if n < 2:
         return lab
-    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])]
-    lab = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     last = np.r_[first[1:], n]
     wide = last - first > 1
     first, last = first[wide], last[wide]
-    for allowed in range(1, budget + 1):
+    for allowed in sorted({1, budget // 2, budget} - {0}):
         change = np.r_[0, np.cumsum(lab[1:] != lab[:-1])]
         zero = np.zeros(len(first), np.int8)
         stack = [(0, first, last, first, last, zero)]
@@ -176,58 +182,51 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(signed[member][child]), pa.array(signed[parent][child])], ["src", "dst"])
 
 
-def links(fps: DataFrame, *, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
-    """Forest edges (src, dst) that join the distinct values of column fp within the budget."""
-    spark = fps.sparkSession
+def masks(bits: list[int], budget: int, blocks: int = BLOCKS) -> list[int]:
+    """Bit masks of which any two fingerprints within the budget agree on at least one.
 
-    def deal(df: DataFrame, key: Column, used: Column) -> DataFrame:
-        """A row for each block of the bits that ``used`` leaves: key of the group, and the mask of its agreed bits."""
-        masks = [m for m in _blocks(budget)]
-        rows = [F.struct(F.xxhash64(key, F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), F.lit(i).alias("block")) for i, m in enumerate(masks)]
-        return df.select("fp", F.explode(F.array(*rows)).alias("g")).select("fp", "g.key", "g.block")
-
-    rows = written(deal(fps, F.lit(0), F.lit(0)), "blocks")
-    hot = rows.groupBy("key", "block").count().where(F.col("count") > group).select("key", F.col("block").alias("_hot"))
-    hot = written(hot, "hot-blocks")
-    parts = [rows.select("key", "fp")]
-    if hot.limit(1).count():
-        cold = rows.join(hot.select("key"), "key", "left_anti").select("key", "fp")
-        again = rows.join(hot, "key")
-        finer = []
-        for i in range(budget + 1):
-            for m in _finer(budget, i):
-                finer.append(again.where(F.col("block") == i).select(F.xxhash64("key", F.lit(m), F.col("fp").bitwiseAND(F.lit(m))).alias("key"), "fp"))
-        parts = [cold, *finer]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = out.repartition(n, "key")
-    return dealt.mapInArrow(lambda b: _forest(b, budget), "src long, dst long")
+    With m blocks of ``bits`` some block has at most budget // m differing bits; each mask is a block
+    without that many of its bits. (Budgets below m take budget + 1 whole blocks.)
+    """
+    m = min(blocks, budget + 1)
+    out = []
+    for i in range(m):
+        block = bits[len(bits) * i // m : len(bits) * (i + 1) // m]
+        for gone in combinations(block, budget // m):
+            out.append(_signed(sum(1 << b for b in block if b not in gone)))
+    return out
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _cut(bits: list[int], parts: int) -> list[int]:
-    """Masks of ``parts`` runs of ``bits``."""
-    edges = [len(bits) * i // parts for i in range(parts + 1)]
-    return [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
-
-
-def _blocks(budget: int) -> list[int]:
-    return [_signed(m) for m in _cut(list(range(64)), budget + 1)]
+def links(fps: DataFrame, *, budget: int = BUDGET, group: int | None = None) -> DataFrame:
+    """Forest edges (src, dst) that join the distinct values of column fp within the budget."""
+    spark = fps.sparkSession
+    group = group or (GROUP if budget < BLOCKS else GROUP_WIDE)
+    first = masks(list(range(64)), budget)
+    finer = [masks([b for b in range(64) if not used >> b & 1], budget) for used in first]
 
+    def key(*before: Column) -> Column:
+        return F.xxhash64(*before, F.col("m"), F.col("fp").bitwiseAND(F.col("m")))
 
-def _finer(budget: int, block: int) -> list[int]:
-    """Masks of the blocks of the bits outside ``block``: a pair that agrees in the block agrees in one of these too."""
-    used = _cut(list(range(64)), budget + 1)[block]
-    return [_signed(m) for m in _cut([b for b in range(64) if not used >> b & 1], budget + 1)]
+    rows = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in first])).alias("at", "m"))
+    rows = written(rows.select("fp", "at", key().alias("key")), "blocks")
+    hot = rows.groupBy("key", "at").count().where(F.col("count") > group).select("key", "at")
+    hot = written(hot, "hot-blocks")
+    out = rows.select("key", "fp")
+    if hot.limit(1).count():
+        again = F.explode(F.get(F.array(*[F.array(*[F.lit(m) for m in ms]) for ms in finer]), F.col("at")))
+        dealt = rows.join(hot, ["key", "at"]).select("key", "fp", again.alias("m"))
+        cold = rows.join(hot, ["key", "at"], "left_anti").select("key", "fp")
+        out = cold.unionAll(dealt.select(key(F.col("key")).alias("key"), "fp"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, "key").mapInArrow(lambda b: _forest(b, budget), "src long, dst long")
 
 
 def components(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id), a row for each document."""
+    """(doc_id, fp, root, component_id), a row for each document; root is the component's least fingerprint."""
     made = written(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
     forest = written(links(distinct.select("fp"), budget=budget), "forest")
@@ -235,11 +234,12 @@ def components(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -
     named = distinct.join(found, distinct["fp"] == found["node"]).select("fp", "first", "component")
     named = written(named, "named")
     least = written(named.groupBy("component").agg(F.min("first").alias("least")), "least")
-    linked = written(named.join(least, "component").select("fp", "least"), "linked")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    linked = written(named.join(least, "component").select("fp", "component", "least"), "linked")
+    found = F.col("component").isNotNull()
+    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(found, F.col("least")).otherwise(F.col("first")).alias("component_id"))
     of_fp = written(of_fp, "of-fp")
     discard(forest, named, least, linked)
-    return made.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return made.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -258,6 +258,6 @@ def dedup(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -> Dat
     # All rows of an id in question: one row of each component that the id names.
     odd = docs.join(many.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     odd = odd.withColumn("_fp", fingerprints(F.col("text"), words))
-    keep = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"), F.coalesce("component_id", "fp").alias("_component")).distinct()
+    keep = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"), F.col("root").alias("_root")).distinct()
     odd = odd.join(keep, (odd["_fp"] == keep["_fp"]) & odd["doc_id"].eqNullSafe(keep["_id"])).drop(keep["_fp"])
-    return once.unionByName(odd.dropDuplicates(["_component", "_id"]).select(docs.columns))
+    return once.unionByName(odd.dropDuplicates(["_root"]).select(docs.columns))

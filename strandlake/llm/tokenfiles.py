@@ -44,7 +44,7 @@ MAGIC = b"SLTOK1"
 HEAD = struct.Struct("<6sBBIIQQQ")
 END_ID = 0
 BLOCK_IDS = 2_000_000
-CACHE = 400_000
+CACHE = 300_000
 JOIN = 2000
 SOME = 256
 
@@ -273,7 +273,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> It
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write its files to the folder ``path``."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, "8m")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from strandlake.llm import pieces, quality, secrets, simhash
+from strandlake.llm import pieces, quality, secrets
 from tests.llm.helpers import awkward_documents, groups
 from tests.llm.test_simhash import _plain
 
@@ -19,10 +19,10 @@ def test_stages_and_their_rows(spark):
     # 1: what scores below 0.3 goes.
     scores = {r.doc_id: r.score for r in quality.predict(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert sorted(r.doc_id for r in good.collect()) == sorted(i for i, s in scores.items() if s >= 0.3)
-    # 2: the least of each group of fingerprints of five-word shingles.
+    # 2: the least of each group of fingerprints.
     rows = sorted(good.collect(), key=lambda r: r.doc_id)
-    fps = [_plain(r.text, 5) for r in rows]
-    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.BUDGET]
+    fps = [_plain(r.text, 3) for r in rows]
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.NEAR_BITS]
     assert sorted(r.doc_id for r in single.collect()) == sorted({rows[c].doc_id for c in groups(len(rows), near)})
     # 3: every document stays, without a base secret.
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in single.collect())

@@ -69,7 +69,7 @@ def test_awkward_rows(spark):
     clean = s.scrub(docs)
     assert clean.columns == docs.columns
     texts = [r.text for r in clean.collect()]
-    assert "[secret] and [secret]" in " | ".join(t for t in texts if t)
+    assert '[secret]" and [secret]' in " | ".join(t for t in texts if t)
     assert sum(t is None for t in texts) == 2
     assert s.scan(docs.limit(0)).count() == 0 and s.scrub(docs.limit(0)).count() == 0
 

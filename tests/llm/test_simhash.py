@@ -30,7 +30,7 @@ def test_fingerprint(text, k):
 
 
 @settings(deadline=None, max_examples=40)
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 63), st.integers(0, 63), st.integers(0, 3)), min_size=1, max_size=60), st.integers(1, 4), st.integers(0, 3))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 63), st.integers(0, 63), st.integers(0, 3)), min_size=1, max_size=60), st.integers(1, 7), st.integers(0, 3))
 def test_trie_join_is_exact(rows, budget, seed):
     base = np.random.default_rng(seed).integers(0, 1 << 63, 4, dtype=np.uint64)
     keys = np.array([r[0] for r in rows])
@@ -41,15 +41,15 @@ def test_trie_join_is_exact(rows, budget, seed):
     assert s.trie_components(keys, fps, budget).tolist() == groups(len(fps), pairs)
 
 
-@pytest.mark.parametrize("group", [200_000, 3])
-def test_links_within_the_budget(spark, group):
+@pytest.mark.parametrize("group, budget", [(None, 3), (3, 3), (None, 7), (2, 7), (None, 1)])
+def test_links_within_the_budget(spark, group, budget):
     rng = np.random.default_rng(2)
     base = rng.integers(-(1 << 62), 1 << 62, 30)
-    fps = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(0, 4), replace=False)) for b in base for _ in range(8)})
-    edges = s.links(spark.createDataFrame([(f,) for f in fps], "fp long"), group=group).collect()
+    fps = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(0, budget + 2), replace=False)) for b in base for _ in range(8)})
+    edges = s.links(spark.createDataFrame([(f,) for f in fps], "fp long"), budget=budget, group=group).collect()
     at = {f: i for i, f in enumerate(fps)}
     mask = (1 << 64) - 1
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if ((fps[i] ^ fps[j]) & mask).bit_count() <= 3]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if ((fps[i] ^ fps[j]) & mask).bit_count() <= budget]
     assert groups(len(fps), [(at[e.src], at[e.dst]) for e in edges]) == groups(len(fps), pairs)
 
 
