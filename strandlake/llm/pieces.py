@@ -5,7 +5,7 @@ follows, at each position, the automaton's output links to all pieces that end t
 relaxes the best path to that position from the best path to the piece's start.
 
 - Unigram models: a path's score is the sum of its pieces' scores; where no piece covers a
-  character, the unknown piece does, at the least score less 10.
+  character, the unknown piece does, at the least score less 10. Of paths of one score the one with the longest last piece is taken.
 - BPE models: a prefix's path is the one that merging would give. It is the piece whose pair with
   the path's last piece before it is stable, that is, merging the two pieces' own symbols
   in order of score never joins across their border. So the same pass gives exactly the ids that the merges
@@ -126,7 +126,6 @@ class Pieces:
         for p, i in usable:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        # Path scores are single precision, as files have them, so that near-ties fall alike.
         self.least = min((model.scores[i] for _, i in usable), default=0.0) - 10.0
         top = max((model.scores[i] for _, i in usable), default=0.0)
         self._gain = [len(p.encode()) * top - 0.1 if k == USER else v for p, v, k in zip(model.pieces, model.scores, model.kinds, strict=True)]
@@ -188,7 +187,7 @@ class Pieces:
         return path[::-1]
 
     def _unigram_path(self, text: str) -> list[tuple[int, int, int]]:
-        n, gain, single_precision = len(text), self._gain, np.float32
+        n, gain = len(text), self._gain
         best = [0.0] + [None] * n
         last: list = [None] * (n + 1)
         ends = iter([*self.automaton.iter(text), (n, (0, 0))])
@@ -197,13 +196,13 @@ class Pieces:
             single = False
             while end == at - 1:
                 start = at - size
-                score = float(single_precision(best[start] + gain[piece]))
+                score = best[start] + gain[piece]
                 if best[at] is None or score > best[at]:
                     best[at], last[at] = score, (piece, start)
                 single |= size == 1
                 end, (size, piece) = next(ends)
             if not single:
-                score = float(single_precision(best[at - 1] + self.least))
+                score = best[at - 1] + self.least
                 if best[at] is None or score > best[at]:
                     best[at], last[at] = score, (-1, at - 1)
         return self._walk(last, n)
