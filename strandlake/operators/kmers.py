@@ -45,7 +45,7 @@ def explode_kmers(sequences: DataFrame, alphabet: str, k: int, *, key: str = "se
 def without_masked(index: DataFrame, masks: DataFrame, k: int, spacing: str | None = None) -> DataFrame:
     """``index`` without k-mers of which any informative position is in ``masks`` (ref_id, pos)."""
     at = informative(k, spacing)
-    hit = masks.select("ref_id", (F.col("pos") - F.explode(F.array(*[F.lit(o) for o in at]))).alias("pos")).distinct()
+    hit = masks.select("ref_id", F.explode(F.array(*[F.col("pos") - o for o in at])).alias("pos")).distinct()
     return index.join(hit, ["ref_id", "pos"], "left_anti").select("kmer", "ref_id", "pos")
 
 

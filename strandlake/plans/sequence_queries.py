@@ -42,7 +42,7 @@ def reverse_complement(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id AS seq_id, array_to_string(list_transform(string_split(seq, ''), lambda c: (instr('ACGT', c) - 1)::VARCHAR), '') AS codes FROM (SELECT doc_id, {NUC_SQL} AS seq FROM documents)"
+    f"SELECT doc_id AS seq_id, CASE WHEN seq = '' THEN '' ELSE array_to_string(list_transform(string_split(seq, ''), lambda c: (instr('ACGT', c) - 1)::VARCHAR), '') END AS codes FROM (SELECT doc_id, {NUC_SQL} AS seq FROM documents)"
 )
 def encode_symbols(spark, sf_dir):
     codes = F.transform(s.encode(F.col("seq"), s.NUCLEOTIDE), lambda c: c.cast("string"))
