@@ -40,6 +40,11 @@ def only(text: Column, letters: str) -> Column:
     return F.upper(F.regexp_replace(text, f"[^{escaped}{escaped.lower()}]", ""))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, also where ``f`` uses it inside a lambda of its own."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def symbols(seq: Column) -> Column:
     """One string a symbol; the empty sequence has none."""
     return F.when(F.length(seq) == 0, F.array().cast("array<string>")).otherwise(F.split(seq, ""))
@@ -104,10 +109,9 @@ def translate(seq: Column, table: dict[str, str] | None = None) -> Column:
     """The protein of a whole coding sequence; its length must be a multiple of three."""
     table = table or codon_table()
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    n = F.length(seq)
-    places = F.when(n >= 3, F.sequence(F.lit(1), n - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    made = F.array_join(F.transform(places, lambda i: F.try_element_at(lookup, F.substring(seq, i, F.lit(3)))), "")
-    return F.when(n % 3 == 0, made).otherwise(F.raise_error(F.lit("sequence length is no multiple of 3")).cast("string"))
+    codons = F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
+    made = F.array_join(F.transform(codons, lambda c: F.try_element_at(lookup, c)), "")
+    return F.when(F.length(seq) % 3 == 0, made).otherwise(F.raise_error(F.lit("sequence length is no multiple of 3")).cast("string"))
 
 
 def three_to_one(name: Column) -> Column:
@@ -140,9 +144,14 @@ def molecular_weight(protein: Column, monoisotopic: bool = False) -> Column:
 def find_subsequence(seq: Column, query: Column | str) -> Column:
     """0-based starts of a query, overlapping ones too."""
     query = F.lit(query) if isinstance(query, str) else query
-    last = F.length(seq) - F.length(query)
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.substring(seq, i + 1, F.length(query)) == query)
+
+    def places(both: Column) -> Column:
+        """Arrays of symbols make each comparison cost the query's length, wherever it is."""
+        last = F.size(both["s"]) - F.size(both["q"])
+        every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.filter(every, lambda i: F.slice(both["s"], i + 1, F.size(both["q"])) == both["q"])
+
+    return let(F.struct(symbols(seq).alias("s"), symbols(query).alias("q")), places)
 
 
 def find_symbol(seq: Column, symbol: str) -> Column:

@@ -74,9 +74,9 @@ def identical_columns(a: Column, b: Column) -> Column:
 
 def columns_of(gapped: DataFrame, *, key: str = "aln_id", row: str = "seq_idx", seq: str = "seq", gap: str = "-") -> DataFrame:
     """(key, row, col, pos): the trace of gapped strings, -1 for a gap."""
-    symbols = F.split(F.col(seq), "")
-    place = lambda i: F.length(F.replace(F.substring(F.col(seq), F.lit(1), i + 1), F.lit(gap), F.lit(""))) - 1
-    return gapped.select(key, row, F.posexplode(F.transform(symbols, lambda c, i: F.when(c == gap, -1).otherwise(place(i)))).alias("col", "pos"))
+    rows = gapped.select(key, row, F.posexplode(F.split(F.col(seq), "")).alias("col", "_c"))
+    seen = F.sum((F.col("_c") != gap).cast("int")).over(Window.partitionBy(key, row).orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(key, row, "col", F.when(F.col("_c") == gap, -1).otherwise(seen - 1).alias("pos"))
 
 
 def terminal_range(columns: DataFrame, *, key: str = "aln_id", row: str = "seq_idx") -> DataFrame:

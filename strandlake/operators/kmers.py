@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.sequences import let, symbols
+
 
 def informative(k: int, spacing: str | None = None) -> list[int]:
     """Offsets that count: 0 to k-1, or those of the ones of a spacing such as '1101'."""
@@ -24,22 +26,18 @@ def kmers(seq: Column, alphabet: str, k: int, spacing: str | None = None) -> Col
     """Array of k-mer codes by start position; a sequence shorter than the k-mer has none."""
     at = informative(k, spacing)
     span, n = at[-1] + 1, len(alphabet)
-    code = lambda i: sum(((F.instr(F.lit(alphabet), F.substring(seq, i + o, F.lit(1))) - 1).cast("long") * F.lit(n ** (k - 1 - j)) for j, o in enumerate(at)), F.lit(0).cast("long"))
-    places = F.when(F.length(seq) >= span, F.sequence(F.lit(1), F.length(seq) - span + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, code)
 
+    def code(codes: Column) -> Column:
+        """Codes of symbols are looked up once; a k-mer then costs k array reads, wherever it is."""
+        places = F.when(F.size(codes) >= span, F.sequence(F.lit(0), F.size(codes) - span)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: sum((F.get(codes, i + o) * F.lit(n ** (k - 1 - j)).cast("long") for j, o in enumerate(at)), F.lit(0).cast("long")))
 
-def rolling_kmers(seq: Column, alphabet: str, k: int) -> Column:
-    """As ``kmers`` for contiguous k-mers, as text: k substrings cost one each, not k look-ups each."""
-    places = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
-    digits = F.translate(seq, alphabet, "0123456789abcdefghijklmnopqrstuvwxyz"[: len(alphabet)])
-    return F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(k)), len(alphabet), 10).cast("long"))
+    return let(F.transform(symbols(seq), lambda s: (F.instr(F.lit(alphabet), s) - 1).cast("long")), code)
 
 
 def explode_kmers(sequences: DataFrame, alphabet: str, k: int, *, key: str = "seq_id", seq: str = "seq", spacing: str | None = None) -> DataFrame:
     """(kmer, ref_id, pos): the index of sequences."""
-    made = rolling_kmers(F.col(seq), alphabet, k) if spacing is None and len(alphabet) <= 36 and len(alphabet) ** k < 1 << 62 else kmers(F.col(seq), alphabet, k, spacing)
-    return sequences.select(F.col(key).alias("ref_id"), F.posexplode(made).alias("pos", "kmer")).select("kmer", "ref_id", "pos")
+    return sequences.select(F.col(key).alias("ref_id"), F.posexplode(kmers(F.col(seq), alphabet, k, spacing)).alias("pos", "kmer")).select("kmer", "ref_id", "pos")
 
 
 def without_masked(index: DataFrame, masks: DataFrame, k: int, spacing: str | None = None) -> DataFrame:

@@ -17,8 +17,8 @@ def orf_scan(sequences: DataFrame, *, key: str = "seq_id", seq: str = "seq", tab
     table = table or codon_table()
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     frames = sequences.select(key, F.col(seq).alias("_s"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_f")).where(F.length("_s") - F.col("_f") >= 3)
-    places = F.sequence(F.col("_f") + 1, F.length("_s") - 2, F.lit(3))
-    frames = frames.withColumn("_c", F.transform(places, lambda i: F.substring(F.col("_s"), i, F.lit(3))))
+    rest = F.substring(F.col("_s"), F.col("_f") + 1, F.length("_s"))
+    frames = frames.withColumn("_c", F.regexp_extract_all(rest, F.lit("(?s).{3}"), F.lit(0)))
     frames = frames.withColumn("_p", F.array_join(F.transform("_c", lambda c: F.try_element_at(lookup, c)), ""))
     opened = frames.select(key, "_f", "_p", F.posexplode("_c").alias("_i", "_codon")).where(F.col("_codon").isin(*starts))
     rest = F.substring(F.col("_p"), F.col("_i") + 1, F.length("_p"))
