@@ -12,12 +12,14 @@ Vectors of one label are compared by cosine in double precision. Steps:
    neighbour is dropped when a nearer kept neighbour is closer to it by the factor alpha.
 4. Adjacency lists of a class from all its shards are united.
 5. Each shard is searched with the united lists, for all its vectors as queries: a greedy
-   beam search from the shard's medoid, which expands its range once it has entered it: all
-   nodes within the threshold are expanded until no new one turns up.
+   beam search from the query's own node and the medoids of all connected parts of the graph, which
+   expands its range: all nodes within the threshold are expanded until no new one turns up. A bounded
+   set of the shard's queries is compared exactly; below ``recall`` the whole shard is, in blocks.
 6. Found pairs are verified by the exact cosine, counted once (in the least shard that both
    share), and each shard emits link counts and a spanning forest, not pairs.
 7. The recall is audited: a bounded set of classes is compared with all, in blocks. Below
-   ``recall`` the overlap and beam double and the graph is built again.
+   ``recall`` the overlap and beam double and the graph is built again. Both audits average the recall of
+   queries, each weighted by 1 / (1 + its near classes), so that a clump counts about as much as a pair.
 
 Defined results: a null label or a vector that cannot be compared gives n_links 0 and its own
 component; repeated rows are vectors of one class, linked with each other; a null
@@ -45,6 +47,7 @@ OVERLAP = 2
 DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
+BACK = 4
 BEAM = 16
 FAN = 32
 PAIRS = 50_000
@@ -166,6 +169,36 @@ def medoid(x: np.ndarray) -> int:
     return int(np.argmax(x @ x.mean(axis=0)))
 
 
+def with_back_edges(lists: np.ndarray, fan: int = BACK) -> np.ndarray:
+    """The lists and an edge to each node from its nearest one, so that no node is without a way in.
+
+    The many nodes of one hub hang from it as a tree: a node gets ``fan`` such edges as hub and ``fan`` as branch.
+    """
+    n = len(lists)
+    a = np.flatnonzero(lists[:, 0] >= 0)
+    b = lists[a, 0]
+    order = np.argsort(b, kind="stable")
+    a, b = a[order], b[order]
+    first = np.searchsorted(b, b)
+    rank = np.arange(len(b)) - first
+    up = np.where(rank < fan, b, a[np.where(rank < fan, 0, first + rank // fan - 1)]) if len(a) else b
+    back = np.full((n, 2 * fan), -1, lists.dtype)
+    back[up, np.where(rank < fan, 0, fan) + rank % fan] = a
+    for slot in range(lists.shape[1]):
+        back[back == lists[:, slot, None]] = -1
+    return np.concatenate([lists, back], axis=1)
+
+
+def part_medoids(x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """The medoid of each connected part of the graph."""
+    lab = np.arange(len(x))
+    a, slot = np.nonzero(lists >= 0)
+    _merge(lab, a, lists[a, slot])
+    order = np.argsort(lab, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(lab[order])) + 1)
+    return np.array([p[medoid(x[p])] for p in parts])
+
+
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     x = _unit(rows["vec"]).astype(np.float32)
     ids = rows["cid"].to_numpy()
@@ -176,17 +209,27 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
 def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> np.ndarray:
     """Matrix (query, node): the nodes with cosine >= threshold that the search meets.
 
-    All queries advance together; ``seen`` marks what each has met.
+    All queries advance together; ``seen`` marks what each has met. A query starts at its own node and at
+    the medoids of all connected parts, of which the nearest fill the beam.
     """
     n, q = len(x), len(queries)
-    start = medoid(x)
+    lists = with_back_edges(lists)
+    starts = part_medoids(x, lists)
     seen = np.zeros((q, n), bool)
     found = np.zeros((q, n), bool)
     best = np.full((q, beam), -1, np.int64)
     score = np.full((q, beam), -np.inf)
     done = np.zeros((q, beam), bool)
-    best[:, 0], score[:, 0], seen[:, start] = start, x[queries] @ x[start], True
-    found[:, start] = score[:, 0] >= threshold
+    each = np.arange(q)
+    near = x[queries] @ x[starts].T
+    seen[:, starts], found[:, starts] = True, near >= threshold
+    seen[each, queries], found[each, queries] = True, True
+    near[starts[None, :] == queries[:, None]] = -np.inf
+    width = min(beam - 1, len(starts))
+    top = np.argsort(-near, axis=1)[:, :width]
+    best[:, 0], score[:, 0] = queries, np.einsum("nd,nd->n", x[queries], x[queries])
+    score[:, 1 : width + 1] = np.take_along_axis(near, top, axis=1)
+    best[:, 1 : width + 1] = np.where(score[:, 1 : width + 1] > -np.inf, starts[top], -1)
     active = np.arange(q)
     while len(active):
         open_ = np.where(done[active] | (best[active] < 0), -np.inf, score[active])
@@ -240,7 +283,28 @@ def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[apart], b[apart]
 
 
-def _search(rows: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
+def _evenly(recall: np.ndarray, kin: np.ndarray) -> float:
+    """The mean of queries' recall, where the members of a clump together weigh about as much as a pair's."""
+    has = kin > 0
+    return float(np.average(recall[has], weights=1 / (1 + kin[has]))) if has.any() else 1.0
+
+
+def _whole(x: np.ndarray, found: np.ndarray, threshold: float, recall: float, most: int) -> np.ndarray:
+    """``found``, or where ``most`` evenly spaced queries show less than ``recall``, the exact matrix in blocks."""
+    n = len(x)
+    asked = np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int64))
+    true = x[asked] @ x.T >= threshold
+    true[np.arange(len(asked)), asked] = False
+    kin = true.sum(axis=1)
+    got = _evenly((true & found[asked]).sum(axis=1) / np.maximum(kin, 1), kin)
+    if got < recall:
+        for lo in range(0, n, 512):
+            found[lo : lo + 512] = x[lo : lo + 512] @ x.T >= threshold
+        np.fill_diagonal(found, False)
+    return found
+
+
+def _search(rows: pd.DataFrame, threshold: float, beam: int, recall: float = RECALL, audit: int = AUDIT) -> pd.DataFrame:
     rows = rows.sort_values("cid", kind="stable").reset_index(drop=True)
     x = _unit(rows["vec"])
     ids = rows["cid"].to_numpy()
@@ -254,6 +318,7 @@ def _search(rows: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
     found = range_search(x, table, np.arange(n), threshold - 1e-9, beam)
     np.fill_diagonal(found, False)
     found |= found.T
+    found = _whole(x, found, threshold - 1e-9, recall, audit)
     a, b = np.nonzero(np.triu(found))
     close = np.empty(len(a), bool)
     for lo in range(0, len(a), 200_000):
@@ -292,7 +357,7 @@ def _search(rows: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
 
 
 def _audit(classes: DataFrame, counted: DataFrame, threshold: float, most: int) -> float:
-    """Recall of links on the ``most`` classes of least hash, each compared with every class in blocks."""
+    """Recall of the ``most`` classes of least hash, each compared with every class in blocks."""
     asked = drawn(classes.select("label", "dim", "vec", "cid"), "audit", most, "cid").toPandas()
     if not len(asked):
         return 1.0
@@ -306,11 +371,11 @@ def _audit(classes: DataFrame, counted: DataFrame, threshold: float, most: int)
                     rows = part.iloc[at]
                     near = x @ _unit(rows["vec"]).T >= threshold
                     near &= ids[:, None] != rows["cid"].to_numpy()[None, :]
-                    yield pd.DataFrame({"cid": ids, "true": near @ rows["weight"].to_numpy()})
+                    yield pd.DataFrame({"cid": ids, "true": near @ rows["weight"].to_numpy(), "kin": near.sum(axis=1)})
 
-    exact = classes.select("label", "dim", "vec", "cid", "weight").mapInPandas(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    both = exact.join(counted, "cid", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("true"))).alias("f")).first()
-    return 1.0 if not both["t"] else both["f"] / both["t"]
+    exact = classes.select("label", "dim", "vec", "cid", "weight").mapInPandas(run, "cid long, true long, kin long").groupBy("cid").agg(F.sum("true").alias("true"), F.sum("kin").alias("kin"))
+    both = exact.where("kin > 0").join(counted, "cid", "left").select("kin", (F.least(F.coalesce("links", F.lit(0)), F.col("true")) / F.col("true")).alias("recall")).toPandas()
+    return _evenly(both["recall"].to_numpy(float), both["kin"].to_numpy())
 
 
 def near_components(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
@@ -334,7 +399,7 @@ def near_components(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap
         united = written(united, "graph")
         whole = parts.join(united, "cid")
         width = beam
-        found = written(whole.groupBy(*keys).applyInPandas(lambda g: _search(g, threshold, width), "cid long, links long, parent long"), "found")
+        found = written(whole.groupBy(*keys).applyInPandas(lambda g: _search(g, threshold, width, recall, audit), "cid long, links long, parent long"), "found")
         counted = written(found.groupBy("cid").agg(F.sum("links").alias("links")), "counted")
         got = _audit(classes, counted, threshold, audit)
         most = max((len(c) for c in centroids.values()), default=1)

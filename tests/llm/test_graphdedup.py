@@ -69,3 +69,48 @@ def test_range_search_meets_all_on_a_connected_graph():
     truth = x @ x.T >= 0.8
     assert not (found & ~truth).any()
     assert (found & truth).sum() >= 0.97 * truth.sum()
+
+
+def _pairs_and_clumps(sizes, n=1500, dim=64, pairs=100):
+    """Unit vectors: planted pairs, then clumps of near copies; and the pairs' count."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((n, dim))
+    x[1 : 2 * pairs : 2] = x[0 : 2 * pairs : 2] + 0.1 * rng.standard_normal((pairs, dim))
+    at = 2 * pairs
+    for size in sizes:
+        x[at : at + size] = x[at] + 0.02 * rng.standard_normal((size, dim))
+        at += size
+    return x / np.linalg.norm(x, axis=1, keepdims=True), pairs
+
+
+@pytest.mark.parametrize("sizes", [(), (66,), (200,), (80, 90)])
+def test_a_clump_hides_no_other_link(sizes):
+    x, _ = _pairs_and_clumps(sizes)
+    found = g.range_search(x, g.robust_prune(x.astype(np.float32)).astype(np.int64), np.arange(len(x)), 0.93, g.BEAM)
+    assert ((found | found.T) == (x @ x.T >= 0.93)).all()
+
+
+def test_near_clumps_are_linked(spark):
+    rng = np.random.default_rng(6)
+    x, _ = _pairs_and_clumps((80, 90), n=600)
+    side = rng.standard_normal(64)
+    x[280:370] = x[200] + 0.25 * side / np.linalg.norm(side) + 0.002 * rng.standard_normal((90, 64))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int")
+    got = g.near_components(table).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == _brute(x, np.zeros(len(x))).sum(axis=1)).all()
+
+
+def test_a_search_that_falls_short_is_replaced_by_exact_blocks():
+    x, pairs = _pairs_and_clumps((200,))
+    truth = x @ x.T >= 0.93
+    np.fill_diagonal(truth, False)
+    clump_only = truth.copy()
+    clump_only[: 2 * pairs] = False
+    assert (g._whole(x, clump_only, 0.93, 0.95, 256) == truth).all()
+
+
+def test_a_hub_keeps_short_lists():
+    lists = np.r_[np.full(1, 1), np.zeros(2000, int)][:, None]
+    wide = g.with_back_edges(lists)
+    assert wide.shape[1] == 1 + 2 * g.BACK
+    assert set(wide.ravel()) - {-1} == set(range(2001))
