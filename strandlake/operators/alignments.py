@@ -66,6 +66,26 @@ def extend_ungapped(a: Column, b: Column, i: Column, j: Column, *, match: int =
     return run(a, b, i, j)
 
 
+def extend_best(a: Column, b: Column, seeds: Column, *, match: int = 1, mismatch: int = -1, matrix: dict | None = None, threshold: int) -> Column:
+    """Struct (score, start1, start2, length) of the best X-drop extension of an array of seed pairs; of equals the first in both sequences."""
+    table = _table(match, mismatch, matrix)
+
+    @F.pandas_udf("score long, start1 long, start2 long, length long")
+    def run(x: pd.Series, y: pd.Series, pairs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, q, at in zip(x, y, pairs, strict=True):
+            p, q = kernels.codes(p), kernels.codes(q)
+            best = None
+            for u, v in at:
+                score, before, after = kernels.extend(p, q, int(u), int(v), table, threshold)
+                made = (-score, int(u) - before, int(v) - before, before + after)
+                best = made if best is None else min(best, made)
+            rows.append((-best[0], *best[1:]))
+        return pd.DataFrame(rows, columns=["score", "start1", "start2", "length"])
+
+    return run(a, b, seeds)
+
+
 def identical_columns(a: Column, b: Column) -> Column:
     """How many positions of two equally long strings hold the same symbol."""
     both = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))

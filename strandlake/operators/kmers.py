@@ -82,6 +82,22 @@ def match(query: DataFrame, index: DataFrame) -> DataFrame:
     return left.join(index.select("kmer", "ref_id", F.col("pos").alias("ref_pos")), "kmer").drop("kmer")
 
 
+def match_runs(query: DataFrame, ref: DataFrame, alphabet: str, k: int, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """(query_id, query_pos, ref_id, ref_pos): of each run of equal k-mers along a diagonal the first.
+
+    Each k-mer is read with the symbol before it, or a mark of the sequence's start that equals no other.
+    """
+    marked = alphabet + "^$"
+    code = len(marked) ** k
+    sides = []
+    for rows, mark in ((query, "^"), (ref, "$")):
+        index = explode_kmers(rows.select(key, F.concat(F.lit(mark), F.col(seq)).alias(seq)), marked, k + 1, key=key, seq=seq)
+        sides.append(index.select("ref_id", "pos", (F.col("kmer") % code).alias("kmer"), _div(F.col("kmer"), code).alias("before")))
+    left = sides[0].select("kmer", F.col("ref_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("before").alias("_b"))
+    right = sides[1].select("kmer", "ref_id", F.col("pos").alias("ref_pos"), "before")
+    return left.join(right, "kmer").where("_b <> before").select("query_id", "query_pos", "ref_id", "ref_pos")
+
+
 def match_counts(query: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, ref_id, matches): position pairs of equal k-mers, counted without making them.
 

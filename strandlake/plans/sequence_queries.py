@@ -301,13 +301,16 @@ def banded_align_score(spark, sf_dir):
 
 @query()
 def seed_extension(spark, sf_dir):
-    """Ungapped X-drop extension of each pair's best diagonal of 12-mer hits between documents and benchmark."""
+    """The best ungapped X-drop extension of each pair's 12-mer hits, on all diagonals, between documents and benchmark.
+
+    Hits in one run of matches extend alike, so the first of each run stands for them.
+    """
     ref = nucleotides(spark, sf_dir, "benchmark", "item_id")
     docs = nucleotides(spark, sf_dir)
-    hits = kmers.match(kmers.explode_kmers(docs, "ACGT", 12), kmers.explode_kmers(ref, "ACGT", 12))
-    first = hits.groupBy("query_id", "ref_id").agg(F.min(F.struct("query_pos", "ref_pos")).alias("seed"))
-    pairs = first.join(docs.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("seq1")), "query_id").join(ref.select(F.col("seq_id").alias("ref_id"), F.col("seq").alias("seq2")), "ref_id")
-    return pairs.select("query_id", "ref_id", alignments.extend_ungapped(F.col("seq1"), F.col("seq2"), F.col("seed.query_pos"), F.col("seed.ref_pos"), threshold=20).alias("x")).select("query_id", "ref_id", "x.*")
+    hits = kmers.match_runs(docs, ref, "ACGT", 12)
+    seeds = hits.groupBy("query_id", "ref_id").agg(F.collect_list(F.array("query_pos", "ref_pos")).alias("seeds"))
+    pairs = seeds.join(docs.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("seq1")), "query_id").join(ref.select(F.col("seq_id").alias("ref_id"), F.col("seq").alias("seq2")), "ref_id")
+    return pairs.select("query_id", "ref_id", alignments.extend_best(F.col("seq1"), F.col("seq2"), F.col("seeds"), threshold=20).alias("x")).select("query_id", "ref_id", "x.*")
 
 
 # Annotations ----------------------------------------------------------------------------
