@@ -140,7 +140,25 @@ def superimpose_without_outliers(fixed: DataFrame, mobile: DataFrame, *, atom: S
     return now, anchors
 
 
-def tm_score(fixed: DataFrame, superimposed: DataFrame, *, atom: Sequence[str], by: Sequence[str], length: int, least_d0: float = 0.5) -> DataFrame:
-    """(by…, tm): sum of 1 / (1 + (d / d0)^2) over the reference length."""
-    d0 = max(1.24 * max(length - 15, 0) ** (1 / 3) - 1.8, least_d0)
-    return _pairs(fixed, superimposed, atom).groupBy(*by).agg((F.sum(1 / (1 + _square() / (d0 * d0))) / length).alias("tm"))
+def tm_score(fixed: DataFrame, superimposed: DataFrame, *, atom: Sequence[str], by: Sequence[str], length: int | str = "shorter", least_d0: float = 0.5) -> DataFrame:
+    """(by…, tm): sum of 1 / (1 + (d / d0)^2) over the reference length, which also gives d0.
+
+    The length is the atoms of the group: the "shorter" or "longer" of both sides, those of the fixed one
+    ("reference"), or a given number. All but a number need the columns ``by`` on both sides.
+    """
+    pairs = _pairs(fixed, superimposed, atom)
+    if isinstance(length, int):
+        pairs = pairs.withColumn("_length", F.lit(length))
+    else:
+        if length not in ("shorter", "longer", "reference"):
+            raise ValueError(f"unsupported reference length: {length!r}")
+        missing = [c for c in by if c not in fixed.columns]
+        if missing:
+            raise ValueError(f"the fixed atoms lack {missing}, so the length of a group is unknown")
+        sides = [side.select(*by, F.lit(one).alias("_fixed"), F.lit(1 - one).alias("_mobile")) for side, one in ((fixed, 1), (superimposed, 0))]
+        a, b = F.sum("_fixed"), F.sum("_mobile")
+        value = {"shorter": F.least(a, b), "longer": F.greatest(a, b), "reference": a}[length]
+        sizes = sides[0].unionByName(sides[1]).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(value.alias("_length"))
+        pairs = pairs.join(sizes, [pairs[c].eqNullSafe(sizes[f"_{c}"]) for c in by]) if by else pairs.crossJoin(F.broadcast(sizes))
+    d0 = F.greatest(1.24 * F.cbrt(F.greatest(F.col("_length") - 15, F.lit(0))) - 1.8, F.lit(least_d0))
+    return pairs.groupBy(*by).agg((F.sum(1 / (1 + _square() / (d0 * d0))) / F.first("_length")).alias("tm"))

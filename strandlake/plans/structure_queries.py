@@ -377,9 +377,9 @@ def superimpose_labels(spark, sf_dir):
 
 @query()
 def tm_scores(spark, sf_dir):
-    fixed, mobile = points(spark, sf_dir).drop("chain_id", "res_id"), points(spark, sf_dir, 1)
+    fixed, mobile = points(spark, sf_dir).drop("res_id"), points(spark, sf_dir, 1)
     moved = compare.superimpose(fixed, mobile, atom=["atom_idx"], by=["chain_id"])
-    return compare.tm_score(fixed, moved, atom=["atom_idx"], by=["chain_id"], length=50)
+    return compare.tm_score(fixed, moved, atom=["atom_idx"], by=["chain_id"])
 
 
 @query(
