@@ -260,6 +260,54 @@ def ungapped_identity(spark, sf_dir):
     return pairs.select("id1", "id2", F.round(same / F.length("a"), 6).alias("identity"), (same * 5 - (F.length("a") - same) * 4).cast("long").alias("score"))
 
 
+def _padded(spark, sf_dir):
+    """Benchmark nucleotides, each padded with gaps to the longest."""
+    rows = nucleotides(spark, sf_dir, "benchmark", "item_id")
+    longest = rows.agg(F.max(F.length("seq")).alias("longest"))
+    return rows.crossJoin(F.broadcast(longest)).select("seq_id", F.rpad("seq", F.col("longest"), F.lit(profiles.GAP)).alias("seq"))
+
+
+_COLUMNS = f"""b AS (SELECT item_id, {NUC_SQL} AS seq FROM benchmark), p AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM b),
+c AS (SELECT i - 1 AS col, seq[i] AS symbol, count(*) AS n FROM p GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_COLUMNS},
+g AS (SELECT a.col, s.symbol, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT col FROM c) a CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS symbol) s LEFT JOIN c ON c.col = a.col AND c.symbol = s.symbol),
+f AS (SELECT *, (n + 0.25) / (sum(n) OVER (PARTITION BY col) + 1) AS f FROM g)
+SELECT col::BIGINT AS col, symbol, n::BIGINT AS n, round(f, 9)::DOUBLE AS p, round(log2(f / 0.25), 6)::DOUBLE AS log_odds FROM f"""
+)
+def profile_counts_whole(spark, sf_dir):
+    """profile_counts over all letters of all items."""
+    made = profiles.counts(_padded(spark, sf_dir), "ACGT")
+    made = profiles.log_odds(profiles.probabilities(made, "ACGT", pseudocount=1), "ACGT")
+    return made.select(F.col("col").cast("long").alias("col"), "symbol", "n", F.round("p", 9).alias("p"), F.round("log_odds", 6).alias("log_odds"))
+
+
+@query(
+    f"""WITH {_COLUMNS},
+m AS (SELECT col, string_agg(symbol, '' ORDER BY symbol) AS best FROM (SELECT *, max(n) OVER (PARTITION BY col) AS top FROM c) WHERE n = top GROUP BY col)
+SELECT string_agg(CASE best {' '.join(f"WHEN '{v}' THEN '{k}'" for k, v in {k: ''.join(sorted(v)) for k, v in s.IUPAC.items()}.items())} WHEN 'ACGT' THEN 'N' END, '' ORDER BY col) AS consensus FROM m"""
+)
+def profile_consensus_whole(spark, sf_dir):
+    """profile_consensus over all letters of all items."""
+    return profiles.consensus(profiles.counts(_padded(spark, sf_dir), "ACGT"))
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, {PROT_SQL} AS seq FROM benchmark),
+o AS (SELECT a.item_id AS id1, b.item_id AS id2, least(length(a.seq), length(b.seq)) AS n, len(list_filter(range(1, least(length(a.seq), length(b.seq)) + 1), lambda i: a.seq[i] = b.seq[i])) AS same FROM b a JOIN b ON a.item_id < b.item_id)
+SELECT id1, id2, CASE WHEN n > 0 THEN round(same / n::DOUBLE, 6) END AS identity, same * 5 - (n - same) * 4 AS score FROM o"""
+)
+def ungapped_identity_whole(spark, sf_dir):
+    """ungapped_identity over the whole overlap of each pair, without a least length; the identity of an empty overlap is null."""
+    rows = proteins(spark, sf_dir, "benchmark", "item_id")
+    a, b = rows.select(F.col("seq_id").alias("id1"), F.col("seq").alias("a")), rows.select(F.col("seq_id").alias("id2"), F.col("seq").alias("b"))
+    pairs = a.join(F.broadcast(b), F.col("id1") < F.col("id2")).withColumn("n", F.least(F.length("a"), F.length("b")))
+    pairs = pairs.withColumn("same", F.when(F.col("n") > 0, alignments.identical_columns(F.substring("a", F.lit(1), F.col("n")), F.substring("b", F.lit(1), F.col("n")))).otherwise(0))
+    return pairs.select("id1", "id2", F.round(F.when(F.col("n") > 0, F.col("same") / F.col("n")), 6).alias("identity"), (F.col("same") * 5 - (F.col("n") - F.col("same")) * 4).cast("long").alias("score"))
+
+
 @query(
     """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, event_type ORDER BY i) AS island FROM e),
