@@ -245,11 +245,11 @@ def components(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -
 def dedup(docs: DataFrame, *, words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id.
 
-    Texts are shuffled once, by doc_id. Only where a kept doc_id stands for
-    more than one row, or is null, are texts looked at again to keep one row.
+    Texts are shuffled once, by doc_id. Only where a kept doc_id stands on
+    more than one row, kept or not, or is null, are texts looked at again to keep one row.
     """
     known = written(components(docs, words=words, budget=budget), "components")
-    rows_of = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows_of = known.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept")).where("_kept")
     seen = written(rows_of.select("doc_id", ((F.col("n") > 1) | F.col("doc_id").isNull()).alias("_many")), "kept-ids")
     once = docs.join(seen.where(~F.col("_many")).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     many = seen.where("_many")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import simhash as s
 from strandlake.llm.queries import op7_simhash_components
-from tests.llm.helpers import awkward_documents, groups
+from tests.llm.helpers import awkward_documents, groups, prose
 
 
 def _plain(text, k=3):
@@ -74,3 +74,11 @@ def test_awkward_rows(spark):
     assert sorted(i for i, _ in rows if i is not None) == [1, 2, 5, 7, 8, 9, 9]
     assert [i for i, _ in rows].count(None) == 1
     assert s.components(docs.limit(0)).count() == 0 and s.dedup(docs.limit(0)).count() == 0
+
+
+def test_a_near_copy_goes_though_its_id_names_another_text(spark):
+    text = prose(11, 400)
+    rows = [(1, text), (5, prose(12, 400)), (5, text + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.component_id for r in s.components(docs, budget=7).collect()}) == 2
+    assert {(r.doc_id, r.text) for r in s.dedup(docs, budget=7).collect()} == set(rows[:2])
