@@ -90,3 +90,11 @@ def test_awkward_rows(spark):
     texts = sorted((r.text or "") for r in docs.collect())
     assert sorted(r.back for r in back) == texts
     assert p.encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_long_runs_of_spaces_take_time_in_proportion():
+    library = S.SentencePieceProcessor(model_file=PATH)
+    made = p.load(PATH)
+    for text in (" " * 50_000 + "word", "  word" * 2000 + " " * 777):
+        assert made.encode(text).tolist() == library.encode(text)
+    assert len(made.encode(" " * 1_000_000)) > 0
