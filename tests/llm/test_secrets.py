@@ -84,3 +84,30 @@ def test_a_document_full_of_parts(spark):
     text = ("login=bob77 " + "k1" * 20 + " ") * 3000
     r = s.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert len(r.spans) == 6000
+
+
+def _masked(text, spans):
+    out, at, i = "", 0, 0
+    for x in spans:
+        if x.start >= at:
+            out += text[at : x.start] + "[secret]"
+        at = max(at, x.end)
+    return out + text[at:]
+
+
+@settings(deadline=None, max_examples=4)
+@given(st.lists(st.lists(PART, max_size=400).map("".join), min_size=10, max_size=20))
+def test_masks_across_pieces(spark, texts):
+    texts.append("é🙂" * s.PIECE + "password=" + "x1" * 2 * s.PIECE + " " + "0123456789abcdef" * 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in s.scan(docs).collect()}
+    for r in s.scrub(docs).collect():
+        assert r.text == _masked(texts[r.doc_id], spans[r.doc_id])
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "password = abcdef12 " * n)], "doc_id long, text string")
+    r = s.scan(docs, keep_text=False).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert r.n == n and (r.last.start, r.last.end) == (20 * n - 20, 20 * n - 1)
+    assert s.scrub(docs).select(F.md5("text").alias("m")).first().m == hashlib.md5(("[secret] " * n).encode()).hexdigest()
