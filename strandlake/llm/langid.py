@@ -6,9 +6,10 @@ language family is predicted by linear support vector machines, one for each fam
 against the rest; within the family, one linear support vector machine for each pair of languages
 (one-versus-one) decides by summed margins. Machines minimise the squared hinge loss.
 
-Families are fixed values; a learned language outside the table is a family of its own. The fit
-draws about ``PER_LANGUAGE`` documents a language, ``MOST_TRAIN`` in all, by a hash of the id, and
-reads their texts whole, as prediction does.
+Families are fixed values; a learned language outside the table is a family of its own. Every value of
+lang is learned, however rare. The fit draws, by a hash of the id, at most ``PER_LANGUAGE`` documents a
+language and ``MOST_TRAIN`` in all, but at least ``LEAST`` of each language (so the bound grows with the
+number of languages beyond ``MOST_TRAIN`` / ``LEAST``), and reads their texts whole, as prediction does.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and where
 nothing could be learned; documents without lang are not learned from; repeated rows
@@ -23,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.batches import bound_batches, held_out, uniform
@@ -43,6 +44,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 PER_LANGUAGE = 800
 MOST_TRAIN = 4000
+LEAST = 10
 FEATURES = 1 << 12
 STEPS = 150
 PENALTY = 1e-3
@@ -146,21 +148,24 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = MOST_TRAIN) -> Hierarchy | None:
-    """Learn from text and lang of ``docs``: about ``per_language`` rows of each, ``most`` at most."""
+    """Learn every lang of ``docs`` from at most ``per_language`` rows of it, fewer where that makes more than ``most`` in all, but at least ``LEAST``."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most // 10).collect()
+    counts = docs.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = min(per_language, most // len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], each / r["count"])])
-    drawn = docs.select("doc_id", "lang", "text").where(uniform("lang", "doc_id") < F.try_element_at(share, F.col("lang")))
+    each = max(LEAST, min(per_language, most // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + 50) / r["count"])) for r in counts], "lang string, _share double")
+    some = docs.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(uniform("lang", "doc_id") < F.col("_share"))  # a row a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(uniform("lang", "id"), "id", "x"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             got = [features(t) for t in p["text"]]
             yield pd.DataFrame({"id": p["doc_id"], "lang": p["lang"], "x": [None if g is None else g.astype(np.float16).tobytes() for g in got]})
 
-    rows = drawn.mapInPandas(run, "id long, lang string, x binary").where("x is not null").orderBy(uniform("draw", "id"), "id", "lang").limit(most).toPandas()
+    rows = some.select("doc_id", "lang", "text").mapInPandas(run, "id long, lang string, x binary").where("x is not null")
+    rows = rows.groupBy("id", "lang").agg(F.min("x").alias("x")).withColumn("_place", place)  # one text of an id, however often it stands there
+    rows = rows.where(F.col("_place") <= each).orderBy("lang", "_place").toPandas()
     if not len(rows):
         return None
     return Hierarchy(np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in rows["x"]]), rows["lang"].to_numpy())

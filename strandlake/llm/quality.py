@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_TRAIN) -> Neighb
             got = [terms(t) for t in p["text"]]
             yield pd.DataFrame({"id": p["_id"], "y": p["_y"], "at": [g[0].astype("<u2").tobytes() for g in got], "v": [g[1].tobytes() for g in got]})
 
-    seen = texts.mapInPandas(run, "id long, y int, at binary, v binary").toPandas().sort_values(["id", "y", "at"]).drop_duplicates(["id", "y"])
+    # One text of each labelled id: an id on very many rows must not reach the driver as often.
+    seen = texts.mapInPandas(run, "id long, y int, at binary, v binary").groupBy("id", "y").agg(F.min(F.struct("at", "v")).alias("t")).select("id", "y", "t.*")
+    seen = seen.toPandas().sort_values(["id", "y"])
     if not len(seen):
         return None
     unpacked = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(v, np.float32)) for a, v in zip(seen["at"], seen["v"], strict=True)]

@@ -4,7 +4,8 @@ A rule fits its host and all subdomains, if the path starts with the rule's; the
 the longest host, then path, wins. URLs without a rule get the verdict of boosted trees,
 trained from the URLs that rules label. Features of a whole URL: lengths, depth, digit ratios, character
 entropy, parameter counts, host labels, and suffix statistics (how often labelled URLs of
-the host's last label and last two labels are blocked, smoothed towards the mean).
+the host's last label and last two labels are blocked, smoothed towards the mean; for a training row, of
+the other folds' URLs only). Each tree sees a random part of the features.
 
 The fit draws at most ``MOST_TRAIN`` distinct labelled URLs, by a hash. Where rules label nothing,
 URLs without a rule are allowed.
@@ -15,6 +16,7 @@ results; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ DEPTH = 3
 RATE = 0.2
 BINS = 32
 LEAST = 5
+FOLDS = 5
+COLUMNS = 0.4
 
 
 def host_of(url: Column) -> Column:
@@ -100,8 +104,10 @@ def features(urls: list[str | None], hosts: list[str], paths: list[str], stats:
 class Boosted:
     """Trees of fixed depth on binned features, fitted to the logistic loss by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, *, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, bins: int = BINS):
+    def __init__(self, x: np.ndarray, y: np.ndarray, *, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, columns: float = 1.0):
+        """Each tree sees a random share ``columns`` of the features (fixed seed), so that no single one decides alone."""
         self.depth = depth
+        rng, k = np.random.default_rng(7), x.shape[1]
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         codes = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -110,13 +116,14 @@ class Boosted:
         self.trees = []
         for _ in range(rounds):
             prob = 1 / (1 + np.exp(-margin))
-            tree, at = self._tree(codes, y - prob, prob * (1 - prob), rate)
+            seen = np.sort(rng.choice(k, max(1, round(columns * k)), replace=False))
+            tree, at = self._tree(codes, y - prob, prob * (1 - prob), rate, seen)
             self.trees.append(tree)
             margin += tree[2][at]
 
-    def _tree(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, rate: float):
+    def _tree(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, rate: float, seen: np.ndarray):
         """(split feature, split code, leaf values) as complete binary arrays, and each row's leaf."""
-        n, k = codes.shape
+        n = len(codes)
         inner = (1 << self.depth) - 1
         feature, cut = np.zeros(inner, np.int64), np.full(inner, 1 << 30)
         at = np.zeros(n, np.int64)
@@ -125,7 +132,7 @@ class Boosted:
             first, nodes = (1 << level) - 1, 1 << level
             local = at - first
             best = np.zeros(nodes)
-            for f in range(k):
+            for f in seen.tolist():
                 cell = local * width + codes[:, f]
                 gs, hs, ns = (np.bincount(cell, w, nodes * width).reshape(nodes, width).cumsum(axis=1) for w in (g, h, np.ones(n)))
                 gain = gs**2 / (hs + 1) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1) - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
@@ -151,21 +158,49 @@ class Boosted:
         return 1 / (1 + np.exp(-margin))
 
 
-class UrlModel:
-    def __init__(self, rows: pd.DataFrame):
-        y = (rows["verdict"] == "block").to_numpy(float)
-        self.mean = float(y.mean())
+class SuffixStats:
+    """Share of blocked URLs by the host's last label and last two labels, smoothed towards the mean."""
+
+    def __init__(self, hosts: list[str], y: np.ndarray):
+        self.mean = float(y.mean()) if len(y) else 0.5
         sums: dict[str, list[float]] = {}
-        for host, v in zip(rows["host"], y, strict=True):
+        for host, v in zip(hosts, y.tolist(), strict=True):
             for s in set(suffixes(host)):
                 one = sums.setdefault(s, [0.0, 0.0])
                 one[0] += v
                 one[1] += 1
-        self.stats = {s: (a + 10 * self.mean) / (b + 10) for s, (a, b) in sums.items()}
-        self.trees = Boosted(self.matrix(rows["url"].tolist(), rows["host"].tolist(), rows["path"].tolist()), y)
+        self.of = {s: (a + 10 * self.mean) / (b + 10) for s, (a, b) in sums.items()}
+
+
+class UrlModel:
+    """Trees over lexical features and suffix statistics.
+
+    A training row's suffix statistics come from the other folds, so no row's own label is among its features.
+    ``held_out`` has, for each last label of a host, the rows of one fold and the accuracy of trees that were
+    fitted to the other folds.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        y = (rows["verdict"] == "block").to_numpy(float)
+        urls, hosts, paths = (rows[c].tolist() for c in ("url", "host", "path"))
+        fold = np.array([zlib.crc32((u or "").encode("utf-8", "surrogatepass")) % FOLDS for u in urls])
+        x = np.zeros((len(rows), len(NAMES)))
+        for f in range(FOLDS):
+            at, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if len(at):
+                stats = SuffixStats([hosts[i] for i in rest], y[rest])
+                x[at] = features([urls[i] for i in at], [hosts[i] for i in at], [paths[i] for i in at], stats.of, stats.mean)
+        self.stats = SuffixStats(hosts, y)
+        self.trees = Boosted(x, y, columns=COLUMNS)
+        self.held_out: dict[str, tuple[int, float]] = {}
+        test, rest = fold == 0, fold != 0
+        if test.any() and rest.any():
+            right = (Boosted(x[rest], y[rest], columns=COLUMNS).probability(x[test]) >= 0.5) == (y[test] == 1)
+            last = np.array([suffixes(hosts[i])[0] for i in np.flatnonzero(test)])
+            self.held_out = {str(s): (int((last == s).sum()), float(right[last == s].mean())) for s in np.unique(last)}
 
     def matrix(self, urls, hosts, paths) -> np.ndarray:
-        return features(urls, hosts, paths, self.stats, self.mean)
+        return features(urls, hosts, paths, self.stats.of, self.stats.mean)
 
     def blocked(self, urls, hosts, paths) -> np.ndarray:
         return self.trees.probability(self.matrix(urls, hosts, paths))

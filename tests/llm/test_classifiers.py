@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def test_exact_neighbours_decide():
     assert s[0] > 0.99 and s[1] < 0.01 and 0 <= s[2] <= 1
 
 
+def test_quality_query_against_plain_votes(spark):
+    """Cosines with every labelled vector, one pair at a time, in double precision."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"), 5, 0)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    vectors = model.space.vectors.astype(float)
+    for r in op4_neighbour_quality(spark, SF).orderBy("doc_id").limit(120).collect():
+        mine = model.space.project([texts[r.doc_id]])[0].astype(float)
+        near = sorted(((sum(a * b for a, b in zip(mine, v, strict=True)), y) for v, y in zip(vectors, model.labels.tolist(), strict=True)), key=lambda s: -s[0])[: quality.NEIGHBOURS]
+        weights = [max(c, 0) ** quality.POWER + 1e-9 for c, _ in near]
+        assert r.score == pytest.approx(sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights), abs=0.02)
+
+
 def test_language_on_held_out_documents(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op9_language_hierarchy(spark, SF).collect()
@@ -75,6 +89,54 @@ def test_language_hierarchy_of_families():
     assert names == [*alphabets, "und", "und", "und"] and (scores[:5] > 0.5).all() and (scores[5:] == 0).all()
 
 
+def test_every_language_is_learned(spark):
+    """More languages than the bound on rows would give ten rows each."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: (letters[i % 26] + letters[i // 26 % 26] + "qxz"[i // 676 % 3]) * 2
+    rows = [(i * 50 + j, " ".join([word(i)] * (8 + j)), f"l{i:03d}") for i in range(60) for j in range(12 if i else 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, most=100)
+    assert model.langs == sorted({r[2] for r in rows})
+    names, _ = model.texts([" ".join([word(i)] * 9) for i in range(60)])
+    assert np.mean([n == f"l{i:03d}" for i, n in enumerate(names)]) > 0.9
+
+
+def test_language_features_against_plain_grams():
+    text = "Der Fluß 42, fließt!  日本"
+    letters = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+    mod, a, b, c = 1 << 64, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+    counts = np.zeros(langid.FEATURES)
+    for i in range(len(letters)):
+        h = 0
+        for j, ch in enumerate(letters[i : i + 3]):
+            h = ((h ^ h >> 29) * b + ord(ch) * a) % mod if j else ord(ch) * a % mod
+            counts[h * c % mod >> 52] += 1
+    want = np.sqrt(counts) / np.sqrt(counts.sum())
+    assert np.allclose(langid.features(text), want, atol=1e-6)
+
+
+def test_language_query_against_plain_machines(spark):
+    """Each text alone: the family of the largest margin, then the sum of clipped margins within it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op9_language_hierarchy(spark, SF).orderBy("doc_id").limit(150).collect():
+        x = langid.features(texts[r.doc_id])
+        if x is None:
+            assert r.lang_pred == "und"
+            continue
+        margins = [float(x.astype(float) @ w[:-1].astype(float) + w[-1]) for w in model.weights.T]
+        k = len(model.families) if len(model.families) > 1 else 0
+        family = model.families[int(np.argmax(margins[:k]))] if k else model.families[0]
+        votes = dict.fromkeys(model.members[family], 0.0)
+        for (f, one, two), m in zip(model.pairs, margins[k:], strict=True):
+            if f == family:
+                votes[one] += np.clip(m, -2, 2)
+                votes[two] -= np.clip(m, -2, 2)
+        top = sorted(votes.values())[-2:]
+        assert r.lang_pred == max(votes, key=votes.get) or top[-1] - top[0] < 1e-3
+
+
 def _plain_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
@@ -117,6 +179,30 @@ def test_boosted_trees_learn_a_rule():
     assert ((trees.probability(x[400:]) >= 0.5) == y[400:]).mean() >= 0.95
 
 
+def test_lexical_features_move_a_verdict(spark):
+    """One suffix, so only the URL's own letters tell the rules' verdicts apart."""
+    rng = random.Random(4)
+    long = lambda d: f"https://shop.com/{d}/" + "/".join(str(rng.randrange(10**8)) for _ in range(4)) + "?a=1&b=2&c=3"
+    short = lambda d: f"https://shop.com/{d}/" + rng.choice(["about", "contact", "river-stone", "light"])
+    urls = [long("x") for _ in range(150)] + [short("y") + str(i) for i in range(150)] + [long("z") for _ in range(20)] + [short("z") for _ in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (("shop.com", "/x/", "block"), ("shop.com", "/y/", "allow"))
+    verdicts = [r.verdict for r in urlfilter.judge(pages, rules=rules).orderBy("page_id").collect()]
+    assert verdicts[300:] == ["block"] * 20 + ["allow"] * 20
+    model = urlfilter.fit(pages, rules=rules)
+    (rows, accuracy) = model.held_out["com"]
+    assert rows > 20 and accuracy > 0.95
+
+
+def test_suffix_statistics_of_training_rows_come_from_other_folds():
+    rng = random.Random(5)
+    hosts = [f"h{i}.example" for i in range(400)]  # each host once: its own label must tell nothing
+    rows = pd.DataFrame({"url": [f"https://{h}/a" for h in hosts], "host": hosts, "path": "/a", "verdict": [rng.choice(["block", "allow"]) for _ in hosts]})
+    model = urlfilter.UrlModel(rows)
+    assert 0.35 < model.held_out["example"][1] < 0.65
+    assert np.ptp(model.blocked(["https://new.example/a"] * 2, ["new.example"] * 2, ["/a"] * 2)) == 0
+
+
 @pytest.mark.parametrize("y", [np.zeros(40), np.ones(40)])
 def test_boosted_trees_of_one_class(y):
     p = urlfilter.Boosted(np.arange(80.0).reshape(40, 2), y).probability(np.zeros((3, 2)))
