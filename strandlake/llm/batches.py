@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = "16m"
+PART_BYTES = 128 << 20
 
 
 def bound_batches(spark: SparkSession, size: str = BATCH) -> None:
@@ -13,6 +14,16 @@ def bound_batches(spark: SparkSession, size: str = BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def parts_for(df: DataFrame, part_bytes: int = PART_BYTES, *, most: int = 100_000) -> int:
+    """Partitions for a shuffle of about all of ``df``: the session's number, or more where a part would hold more than ``part_bytes``.
+
+    The size is the optimizer's estimate (for files, theirs); an unknown size leaves the session's number.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size >= 1 << 60 else min(max(own, -(-size // part_bytes)), max(most, own))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32(doc_id as text) mod ``folds`` is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -1,30 +1,35 @@
 """Token-id files with Elias-Fano document boundaries.
 
-A file is one block of documents in ascending doc_id order (nulls first, then by text), little-endian:
+A file holds a few blocks, each with documents in ascending doc_id order (nulls first, then by a hash of the ids, then by
+the ids), little-endian, and each closed by a newline:
 
-    magic "SLTOK1" | version u8 | id width in bytes u8 (2 or 4)
-    part u32 | block u32 | documents n u64 | of these with null doc_id u64 | ids u64
+    magic "SLTOK2" | version u8 | id width in bytes u8 (2 or 4)
+    part u32 | block u32 | documents n u64 | of these with null doc_id z u64 | ids u64
+    least doc_id i64 | greatest less least doc_id u64
     Elias-Fano of the n document ends: low bits l u8 | low words u64 x ceil(n*l/64) |
         high words u64 x ceil((n + (u >> l) + 1) / 64), u = ids
-    doc_ids i64 x n | ids | newline
+    Elias-Fano of the n - z doc_ids less the least one | ids | newline
 
-The Elias-Fano part holds the monotone sequence of ends (ids before each document's end)
-in n * (2 + ceil(log2(u / n))) bits about: the low l bits of each end packed, the high
-bits as a unary-coded bitmap; end i is ((select1(i) - i) << l) | low(i). Nothing holds a
-64-bit table of offsets.
+An Elias-Fano part holds a monotone sequence (ids before each document's end, or doc_ids)
+in n * (2 + ceil(log2(u / n))) bits about: the low l bits of each value packed, the high
+bits as a unary-coded bitmap; value i is ((select1(i) - i) << l) | low(i). Nothing holds a
+64-bit table of offsets. Readers go through ``select_range``: the select counts say which words of the bitmap
+hold the values asked for, and only these are looked at, ``DOCS`` documents at a time.
 
-Spark writes the files (a line of the text writer is one block, whose only end is the
-newline) and reads them back as binary files, so any file system that Spark reaches will do.
-A block closes once it has ``block_ids`` ids; a document is never split.
+Texts are encoded where they lie; the ids, not the texts, are shuffled, straight to the part whose range of doc_ids is
+theirs (bounds by approximate quantiles of doc_id; a doc_id that fills several ranges is dealt to them by the hash). Spark
+writes the files (a line of the text writer is one block) and reads them back as binary files, so any file system that Spark
+reaches will do. A block closes once it has ``block_ids`` ids, a file once it has ``FILE_BLOCKS`` blocks; a document is never split.
 
-Defined results: a null text is the empty text, whose ids are the end id alone; strings of special
-tokens in a text are ordinary text; rows of one doc_id are ordered by text; an empty table
+Defined results: a null text is the empty text, whose ids are the end id alone; the vocabulary's special tokens in a text
+become their ids, as the tokenizers library gives them; rows of one doc_id are ordered as above; an empty table
 gives an empty table and no file.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,19 +39,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.batches import Recent, bound_batches
+from strandlake.llm.batches import Recent, bound_batches, parts_for
 from strandlake.plans.shared import new_path, written
 
-MAGIC = b"SLTOK1"
-HEAD = struct.Struct("<6sBBIIQQQ")
+MAGIC = b"SLTOK2"
+HEAD = struct.Struct("<6sBBIIQQQqQ")
 END_ID = 0
 BLOCK_IDS = 2_000_000
 CACHE = 300_000
 JOIN = 2000
 SOME = 256
+DOCS = 4096
+FILE_BLOCKS = 8
+PART_BYTES = 64 << 20
 
 
 # Elias-Fano ---------------------------------------------------------------------------
@@ -90,46 +99,66 @@ class EliasFano:
         """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        run = int(np.searchsorted(self._before, i, side="right")) - 1
-        bits = np.unpackbits(self._high[run * 64 : run * 64 + 64], bitorder="little")
-        place = run * 512 + int(np.flatnonzero(bits)[i - self._before[run]])
-        first = i * self.low
-        raw = np.unpackbits(self._low[first // 8 : -(-(first + self.low) // 8)], bitorder="little")[first % 8 : first % 8 + self.low]
-        return (place - i) << self.low | int(raw.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)))
-
-    def all(self) -> np.ndarray:
-        place = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self._low, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        return ((place - np.arange(self.n)) << self.low) | bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi - 1 as unsigned integers; only the words that hold them are read."""
+        if lo >= hi:
+            return np.zeros(0, np.uint64)
+        first, last = np.searchsorted(self._before, [lo, hi - 1], side="right") - 1
+        bits = np.unpackbits(self._high[first * 64 : (last + 1) * 64], bitorder="little")
+        place = np.flatnonzero(bits)[lo - self._before[first] : hi - self._before[first]] + first * 512
+        at = lo * self.low
+        raw = np.unpackbits(self._low[at // 8 : -(-hi * self.low // 8)], bitorder="little")[at % 8 :][: (hi - lo) * self.low].reshape(hi - lo, self.low)
+        low = np.zeros(hi - lo, np.uint64)
+        for j in range(self.low):
+            low |= raw[:, j].astype(np.uint64) << np.uint64(j)
+        return (place - np.arange(lo, hi)).astype(np.uint64) << np.uint64(self.low) | low
 
 
 # Blocks -------------------------------------------------------------------------------
 
 
 def pack_block(part: int, block: int, doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
+    """A block of documents in order of doc_id, nulls first."""
     ends = np.cumsum(np.array(lengths, np.int64))
     total = int(ends[-1]) if len(ends) else 0
-    nulls = sum(d is None for d in doc_ids)
-    head = HEAD.pack(MAGIC, 1, width, part, block, len(doc_ids), nulls, total)
-    known = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
-    return head + ef_encode(ends, total) + known + ids
+    known = [d for d in doc_ids if d is not None]
+    least, span = (known[0], known[-1] - known[0]) if known else (0, 0)
+    head = HEAD.pack(MAGIC, 2, width, part, block, len(doc_ids), len(doc_ids) - len(known), total, least, span)
+    above = np.array(known, np.int64).view(np.uint64) - np.array(least, np.int64).view(np.uint64)
+    return head + ef_encode(ends, total) + ef_encode(above, span) + ids
 
 
 class Block:
-    """A block as read; ``tokens(i)`` finds its document by select on the boundaries."""
+    """A block as read at ``at``; documents are found by select on the boundaries. ``end`` is where the next block begins."""
 
-    def __init__(self, data: bytes):
-        magic, version, self.width, self.part, self.block, self.n, self.nulls, self.total = HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
+    def __init__(self, data: bytes, at: int = 0):
+        magic, version, self.width, self.part, self.block, self.n, self.nulls, self.total, self._least, span = HEAD.unpack_from(data, at)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token block")
-        self.bounds = EliasFano(data, HEAD.size, self.n, self.total)
-        at = self.bounds.end
-        self.doc_ids = np.frombuffer(data, "<i8", self.n, at)
-        self.ids = np.frombuffer(data, f"<u{self.width}", self.total, at + 8 * self.n)
+        self.bounds = EliasFano(data, at + HEAD.size, self.n, self.total)
+        self._names = EliasFano(data, self.bounds.end, self.n - self.nulls, span)
+        self.ids = np.frombuffer(data, f"<u{self.width}", self.total, self._names.end)
+        self.end = self._names.end + self.total * self.width + 1
+
+    def doc_ids(self, lo: int, hi: int) -> pd.array:
+        """doc_ids of documents lo to hi - 1, with nulls."""
+        out = pd.array(np.zeros(hi - lo, np.int64), dtype="Int64")
+        none = max(0, min(self.nulls, hi) - lo)
+        above = self._names.select_range(lo + none - self.nulls, hi - self.nulls) if hi > self.nulls else np.zeros(0, np.uint64)
+        out[none:] = (above + np.array(self._least, np.int64).view(np.uint64)).view(np.int64)
+        out[:none] = pd.NA
+        return out
+
+    def edges(self, lo: int, hi: int) -> np.ndarray:
+        """Where documents lo to hi - 1 begin, and the end of the last."""
+        known = self.bounds.select_range(max(lo - 1, 0), hi).astype(np.int64)
+        return known if lo else np.r_[0, known]
 
     def tokens(self, i: int) -> np.ndarray:
-        start = self.bounds.select(i - 1) if i else 0
-        return self.ids[start : self.bounds.select(i)]
+        start, end = self.edges(i, i + 1)
+        return self.ids[start:end]
 
 
 # Encoding -----------------------------------------------------------------------------
@@ -140,9 +169,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -157,25 +184,34 @@ class Encoder:
     def __init__(self, path: str):
         self._made = _tokenizer(path)
         size = self._made.get_vocab_size()
-        self.width = 2 if size <= 1 << 16 else 4
+        self.width = self.width_of(path)
         self._kind = f"<u{self.width}"
         self._cache = Recent(CACHE)
         # A byte-level vocabulary writes each byte as one character.
         self._lengths = np.array([len(self._made.id_to_token(i) or "") for i in range(size)], np.int64)
+        special = [t.content for t in self._made.get_added_tokens_decoder().values()]
+        # Special tokens, and what lies between them, are found in whole texts only.
+        self._special = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
+        self._has_special = re.compile(self._special).search if special else lambda _: None
         self._points = {c: self._ids(c).tobytes() for c in ".,;:!?"}
 
+    @staticmethod
+    def width_of(path: str) -> int:
+        """Bytes of an id."""
+        return 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._made.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._kind)
 
     def _learn(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of parts: a word for itself after a space, newline and word, NUL and word for the word itself.
 
-        A part without a word, or with other white space in it, has none: such texts are encoded whole.
+        A part without a word, or with other white space or a special token in it, has none: such texts are encoded whole.
         """
         made, after, ended = {}, {}, []
         for key in keys:
             word = key[1:] if key[:1] in ("\0", "\n") else key
-            if word.split() != [word]:
+            if word.split() != [word] or self._has_special(word):
                 made[key] = b""
             elif key[0] == "\0":
                 made[key] = self._ids(word).tobytes()
@@ -217,7 +253,7 @@ class Encoder:
         first = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
         part = coded.indices.to_numpy()
         edges = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]
-        whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, f"\\x00|{self._special}" if self._special else "\\x00").to_numpy(zero_copy_only=False)
         if self._cache.empty:
             empty = np.flatnonzero(size[part] == 0)
             whole[np.searchsorted(edges, empty, side="right") - 1] = True
@@ -244,24 +280,35 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, block_ids: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, block = TaskContext.get().partitionId(), 0
-    encoder = encoder_of(path)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    """(part, doc_id, h, ids) of each text; h is a hash of the ids as an unsigned number's signed twin."""
+    encoder, edges = encoder_of(path), np.array(bounds, np.int64)
     end = np.array([END_ID], f"<u{encoder.width}").tobytes()
-    ids, docs, lengths, total = [], [], [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SOME):
+            some = batch.slice(lo, SOME)
+            ids = [raw + end for raw in encoder.texts(some["text"])]
+            h = np.fromiter((xxhash.xxh64_intdigest(raw) for raw in ids), np.uint64, len(ids))
+            doc = pc.fill_null(some["doc_id"], np.iinfo(np.int64).min).to_numpy()
+            first, last = np.searchsorted(edges, doc, side="left"), np.searchsorted(edges, doc, side="right")
+            part = first + ((h >> np.uint64(40)).astype(np.int64) * (last - first) >> 24)
+            order = (h ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), some["doc_id"], pa.array(order), pa.array(ids, pa.binary())], ["part", "doc_id", "h", "ids"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, block_ids: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the documents of one part, which come in order."""
+    block = part = total = 0
+    ids, docs, lengths = [], [], []
 
     def close() -> pa.RecordBatch:
-        data = pack_block(part, block, docs, lengths, b"".join(ids), encoder.width)
-        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
+        return pa.RecordBatch.from_arrays([pa.array([pack_block(part, block, docs, lengths, b"".join(ids), width)], pa.binary())], ["block"])
 
     for batch in batches:
-        for doc, raw in zip(batch["doc_id"].to_pylist(), encoder.texts(batch["text"]), strict=True):
-            raw += end
+        for part, doc, raw in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
             ids.append(raw)
             docs.append(doc)
-            lengths.append(len(raw) // encoder.width)
+            lengths.append(len(raw) // width)
             total += lengths[-1]
             if total >= block_ids:
                 yield close()
@@ -274,32 +321,39 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, block_ids:
     """Encode ``docs`` (doc_id, text) and write its files to the folder ``path``."""
     spark = docs.sparkSession
     bound_batches(spark, "8m")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text"))
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    blocks = rows.mapInArrow(lambda b: _encoded(b, tokenizer, block_ids), "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = parts_for(rows, PART_BYTES)
+    known = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
+    bounds = (known or [])[: n - 1]
+    # A part's number is the partition's, so that files follow the order of doc_ids.
+    ids = rows.mapInArrow(lambda b: _encoded(b, tokenizer, bounds), "part int, doc_id long, h long, ids binary").repartitionById(n, F.col("part"))
+    ids = ids.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids")
+    width = Encoder.width_of(tokenizer)
+    blocks = ids.mapInArrow(lambda b: _blocks(b, width, block_ids), "block binary")
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(part, block, place, doc_id, begin, n_tokens, ids_crc32) of every document, from the files alone; begin counts within the block."""
+    """(part, block, doc_id, begin, n_tokens, ids_crc32) of every document, from the files alone; begin counts within the block."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for data in part["content"]:
-                if not data:  # Spark's writer leaves an empty file for an empty table
-                    continue
-                b = Block(data)
-                ends = b.bounds.all()
-                starts = np.r_[0, ends[:-1]]
-                wide = memoryview(b.ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                ids = pd.array(b.doc_ids, dtype="Int64")
-                ids[: b.nulls] = pd.NA
-                yield pd.DataFrame({"part": b.part, "block": b.block, "place": np.arange(b.n), "doc_id": ids, "begin": starts, "n_tokens": ends - starts, "ids_crc32": crc})
+                at = 0
+                while at < len(data):  # Spark's writer leaves an empty file for an empty table
+                    b = Block(data, at)
+                    at = b.end
+                    for lo in range(0, b.n, DOCS):
+                        hi = min(lo + DOCS, b.n)
+                        edges = b.edges(lo, hi)
+                        wide = memoryview(b.ids[edges[0] : edges[-1]].astype("<u4").tobytes())
+                        inner = (4 * (edges - edges[0])).tolist()
+                        crc = [zlib.crc32(wide[s:e]) for s, e in zip(inner, inner[1:], strict=False)]
+                        yield pd.DataFrame({"part": b.part, "block": b.block, "doc_id": b.doc_ids(lo, hi), "begin": edges[:-1], "n_tokens": np.diff(edges), "ids_crc32": crc})
 
+    bound_batches(spark, "8m")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(run, "part long, block long, place long, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return files.mapInPandas(run, "part long, block long, doc_id long, begin long, n_tokens long, ids_crc32 long")
 
 
 def token_offsets(docs: DataFrame, tokenizer: str, *, path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
