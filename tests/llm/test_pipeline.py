@@ -1,9 +1,10 @@
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from strandlake.llm import pieces, quality, secrets
+from strandlake.llm import pieces, quality, secrets, simhash
 from tests.llm.helpers import awkward_documents, groups
-from tests.llm.test_simhash import _plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,10 +20,11 @@ def test_stages_and_their_rows(spark):
     # 1: what scores below 0.3 goes.
     scores = {r.doc_id: r.score for r in quality.predict(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert sorted(r.doc_id for r in good.collect()) == sorted(i for i, s in scores.items() if s >= 0.3)
-    # 2: the least of each group of fingerprints.
+    # 2: the least of each group of sketches.
     rows = sorted(good.collect(), key=lambda r: r.doc_id)
-    fps = [_plain(r.text, 3) for r in rows]
-    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.NEAR_BITS]
+    made = [np.frombuffer(simhash.sketch(r.text, corpus_pipeline.WORDS), np.uint8) for r in rows]
+    budget = simhash.sketch_budget(corpus_pipeline.SIMILARITY)
+    near = [(i, j) for i in range(len(made)) for j in range(i) if np.bitwise_count(made[i] ^ made[j]).sum() <= budget]
     assert sorted(r.doc_id for r in single.collect()) == sorted({rows[c].doc_id for c in groups(len(rows), near)})
     # 3: every document stays, without a base secret.
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in single.collect())
@@ -40,6 +42,26 @@ def test_stages_and_their_rows(spark):
     assert all(model.decode(r.ids) == texts[r.doc_id] for r in got)
 
 
+def test_near_copies_of_a_larger_table(spark):
+    """Recall and precision of the stage on the texts of sf 0.01, by exact five-word similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shingles = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        shingles[r.doc_id] = {tuple(w[i : i + corpus_pipeline.WORDS]) for i in range(max(1, len(w) - corpus_pipeline.WORDS + 1))}
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, "").select("doc_id").collect()}
+    ids, gone, wrong = sorted(shingles), [], []
+    for i, a in enumerate(ids):
+        alike = [len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for b in ids[:i]]
+        if max(alike, default=0) >= corpus_pipeline.SIMILARITY:
+            gone.append(a not in kept)
+        all_ = alike + [len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for b in ids[i + 1 :]]
+        if max(all_) < 0.6:
+            wrong.append(a not in kept)
+    assert len(gone) > 20 and np.mean(gone) > 0.97
+    assert len(wrong) > 100 and not any(wrong)
+
+
 def test_run_gives_the_last_stages_rows(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"]
 

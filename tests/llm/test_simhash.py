@@ -53,6 +53,51 @@ def test_links_within_the_budget(spark, group, budget):
     assert groups(len(fps), [(at[e.src], at[e.dst]) for e in edges]) == groups(len(fps), pairs)
 
 
+@settings(deadline=None, max_examples=25)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.lists(st.integers(0, 127), max_size=6)), min_size=1, max_size=40), st.integers(1, 9), st.integers(0, 3))
+def test_trie_join_of_wide_fingerprints(rows, budget, seed):
+    base = [int.from_bytes(np.random.default_rng(seed + 9 * i).bytes(16), "big") for i in range(4)]
+    rows = sorted((k, base[b] ^ sum({1 << f for f in flips})) for k, b, flips in rows)
+    keys = np.array([k for k, _ in rows])
+    words = np.array([[v >> 64, v & (1 << 64) - 1] for _, v in rows], np.uint64)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i][0] == rows[j][0] and (rows[i][1] ^ rows[j][1]).bit_count() <= budget]
+    assert s.trie_components(keys, words, budget).tolist() == groups(len(rows), pairs)
+
+
+def test_sketches_tell_similarity():
+    words = prose(21, 3000).split()
+    for share, near in ((0.01, True), (0.5, False)):
+        other = [w if (i * 37 % 100) / 100 >= share else f"x{i}" for i, w in enumerate(words)]
+        a, b = (np.frombuffer(s.sketch(" ".join(x), 5), np.uint8) for x in (words, other))
+        assert (np.bitwise_count(a ^ b).sum() <= s.sketch_budget(0.8)) == near
+    assert s.sketch(None, 5) == s.sketch(" \n", 5) == bytes(64)
+    assert s.sketch("A b  c d e f", 5) == s.sketch("a B c d E f", 5) == s.sketch("a b c\nd e f", 5)
+
+
+@pytest.mark.parametrize("group", [5000, 20])
+def test_sketch_links(spark, group):
+    """Near copies meet however their groups are dealt, and a task may hold one group or many."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(40):
+        base = rng.integers(0, 256, 64, dtype=np.uint8)
+        for _ in range(1 if c % 2 else 60 if c == 0 else 5):
+            bits = np.zeros(512, np.uint8)
+            bits[rng.choice(512, 30, replace=False)] = 1
+            rows.append((len(rows), bytes(base ^ np.packbits(bits)), c))
+    edges = s.sketch_links(spark.createDataFrame(rows, "node long, fp binary, c int").select("node", "fp"), similarity=0.8, group=group).collect()
+    assert groups(len(rows), [(e.src, e.dst) for e in edges]) == groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][2] == rows[j][2]])
+
+
+def test_tasks_flush_at_the_border_of_groups(monkeypatch):
+    monkeypatch.setattr(s, "FLUSH", 10)
+    keys = np.repeat(np.arange(9), [3, 25, 1, 1, 9, 2, 30, 1, 4])
+    table = s.pa.table({"key": keys, "fp": np.arange(len(keys))})
+    got = [t["key"].to_pylist() for t in s._whole_groups(iter(table.to_batches(max_chunksize=4)))]
+    assert sum(got, []) == keys.tolist() and len(got) > 3
+    assert all(not set(a) & set(b) for a, b in itertools.combinations(got, 2))
+
+
 def test_query_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     fps = [_plain(d.text) for d in docs]
