@@ -1,9 +1,9 @@
 """A training-data pipeline over documents: STAGES in order, each on all that the one before kept.
 
 1. quality: documents that the neighbour vote rejects (score below 0.3) go.
-2. near_duplicates: one document of each SimHash group stays, the one of the smallest doc_id. Shingles are of
-   three words, as in op7; up to 7 bits may differ, which finds most documents whose five-word shingles
-   are 0.8 alike (op7 itself links at 3 bits).
+2. near_duplicates: one document of each SimHash group stays, the one of the smallest doc_id. Links are sketches of
+   512 bits over five-word shingles, within the bits that texts 0.8 alike differ in (op7 itself links
+   64-bit fingerprints of three-word shingles at 3 bits).
 3. secrets: spans of secrets in texts are masked; every document stays.
 4. mix: each document is repeated as often as the mix of sources takes it, which may be never.
 5. pieces: the whole texts as piece ids.
@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import mixing, pieces, quality, secrets, simhash
 
-
-NEAR_BITS = 7
+WORDS, SIMILARITY = 5, 0.8
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +23,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs, words=3, budget=NEAR_BITS)
+    return simhash.dedup(docs, words=WORDS, similarity=SIMILARITY)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
