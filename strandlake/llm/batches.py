@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +54,18 @@ class Recent:
     def __init__(self, size: int, longest: int = 64):
         self.size, self.longest, self.empty, self._new, self._old, self._brief = size, longest, set(), {}, {}, []
 
-    def known(self, keys: set[str], learn) -> dict[str, bytes]:
-        """A dictionary that has all ``keys`` until the next call; ``learn`` makes those of a list that are new."""
+    def known(self, keys: Collection[str], learn) -> dict[str, bytes]:
+        """A dictionary that has all ``keys``, which differ, until the next call; ``learn`` makes those of a list that are new."""
         for k in self._brief:
             self._new.pop(k, None)
         if len(self._new) >= self.size:
             self._old, self._new = self._new, {}
-        missing = keys.difference(self._new)
-        kept = missing.intersection(self._old)
-        self._new.update({k: self._old[k] for k in kept})
-        missing -= kept
-        made = learn(list(missing)) if missing else {}
+        new, old = self._new, self._old
+        missing = [k for k in keys if k not in new]
+        if old:
+            new.update({k: old[k] for k in missing if k in old})
+            missing = [k for k in missing if k not in old]
+        made = learn(missing) if missing else {}
         self._new.update(made)
         self.empty = {k for k, v in made.items() if not v}
         self._brief = [k for k in made if len(k) > self.longest] + list(self.empty)

@@ -34,6 +34,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.batches import Recent, bound_batches, parts_for
+from strandlake.llm.batches import bound_batches, parts_for
 from strandlake.plans.shared import new_path, written
 
 MAGIC = b"SLTOK2"
@@ -51,7 +52,11 @@ HEAD = struct.Struct("<6sBBIIQQQqQ")
 END_ID = 0
 BLOCK_IDS = 2_000_000
 CACHE = 300_000
+LONGEST = 64
 JOIN = 2000
+POINTS = ".,;:!?"
+# Fixed value: what str.isspace holds of, but for the space.
+WHITE = "[\t-\r\x1c-\x1f\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SOME = 256
 DOCS = 4096
 FILE_BLOCKS = 8
@@ -179,6 +184,7 @@ class Encoder:
     a text is cut there and the parts seen before come from a bounded cache. Nor does it join a letter and a point or
     comma after it, so a new part that ends so takes its word's ids. New words of a batch are joined to one string
     for the tokenizer; the ids' lengths in bytes, which a byte-level vocabulary fixes, tell them apart again.
+    Arrow does all but the tokenizer's work: parts are numbered, looked up and put together in columns.
     """
 
     def __init__(self, path: str):
@@ -186,14 +192,13 @@ class Encoder:
         size = self._made.get_vocab_size()
         self.width = self.width_of(path)
         self._kind = f"<u{self.width}"
-        self._cache = Recent(CACHE)
+        self._keys, self._codes = pa.array([], pa.string()), pa.array([], pa.binary())
         # A byte-level vocabulary writes each byte as one character.
         self._lengths = np.array([len(self._made.id_to_token(i) or "") for i in range(size)], np.int64)
-        special = [t.content for t in self._made.get_added_tokens_decoder().values()]
         # Special tokens, and what lies between them, are found in whole texts only.
-        self._special = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
-        self._has_special = re.compile(self._special).search if special else lambda _: None
-        self._points = {c: self._ids(c).tobytes() for c in ".,;:!?"}
+        self._special = [t.content for t in self._made.get_added_tokens_decoder().values()]
+        self._points = pa.array([c for c in POINTS], pa.string())
+        self._point_codes = pa.array([self.alone(c) for c in POINTS], pa.binary())
 
     @staticmethod
     def width_of(path: str) -> int:
@@ -203,75 +208,78 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._made.encode_batch_fast([text], add_special_tokens=False)[0].ids, self._kind)
 
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+    def alone(self, text: str) -> bytes:
+        """Ids of one text by the tokenizer itself."""
+        return self._ids(text).tobytes() if text else b""
+
+    def _in_line(self, keys: pa.StringArray) -> pa.BinaryArray:
+        """Ids of words after a space, or after the newline that they begin with."""
+        spaced = pc.if_else(pc.starts_with(keys, "\n"), keys, pc.binary_join_element_wise("", keys, " "))
+        sizes = pc.binary_length(spaced).to_numpy()
+        raw, ends, at = [], [np.zeros(1, np.int64)], 0
+        for lo in range(0, len(keys), JOIN):
+            some = spaced.slice(lo, JOIN)
+            ids = self._ids("".join(some.to_pylist()))
+            stop = np.searchsorted(np.cumsum(self._lengths[ids]), np.cumsum(sizes[lo : lo + len(some)], dtype=np.int64), side="left") + 1
+            raw.append(ids.tobytes())
+            ends.append(at + stop * self.width)
+            at += len(raw[-1])
+        offsets = np.concatenate(ends).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(raw))])
+
+    def _learn(self, keys: pa.StringArray) -> pa.BinaryArray:
         """Ids of parts: a word for itself after a space, newline and word, NUL and word for the word itself.
 
-        A part without a word, or with other white space or a special token in it, has none: such texts are encoded whole.
+        A part without a word, or with other white space or a special token in it, has none (null): such texts are encoded whole.
         """
-        made, after, ended = {}, {}, []
-        for key in keys:
-            word = key[1:] if key[:1] in ("\0", "\n") else key
-            if word.split() != [word] or self._has_special(word):
-                made[key] = b""
-            elif key[0] == "\0":
-                made[key] = self._ids(word).tobytes()
-            elif word[-1] in self._points and word[-2:-1].isalpha():
-                base = key[:-1]
-                ids = self._cache.get(base)
-                if ids is None:
-                    after[base] = None
-                    ended.append(key)
-                else:
-                    made[key] = ids + self._points[key[-1]]
-            else:
-                after[key] = None
-        after = list(after)
-        for lo in range(0, len(after), JOIN):
-            some = after[lo : lo + JOIN]
-            written = [k if k[0] == "\n" else " " + k for k in some]
-            ids = self._ids("".join(written))
-            ends = np.cumsum(self._lengths[ids])
-            stop = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in written]), side="left") + 1
-            at = 0
-            for key, to in zip(some, stop.tolist(), strict=True):
-                made[key] = ids[at:to].tobytes()
-                at = to
-        for key in ended:
-            made[key] = made[key[:-1]] + self._points[key[-1]]
-        return made
-
-    def texts(self, texts: pa.StringArray) -> Iterator[bytes]:
-        """Ids of each text. Arrow cuts the texts and numbers the distinct parts; only these reach Python."""
+        first, after_line = pc.starts_with(keys, "\0"), pc.starts_with(keys, "\n")
+        bare = pc.if_else(pc.or_(first, after_line), pc.utf8_slice_codeunits(keys, 1), keys)
+        bad = pc.or_(pc.equal(bare, ""), pc.match_substring_regex(bare, WHITE))
+        for token in self._special:
+            bad = pc.or_(bad, pc.match_substring(bare, token))
+        pointed = pc.and_(pc.match_substring_regex(bare, f"\\pL[{POINTS}]$"), pc.invert(pc.or_(first, bad)))
+        base = pc.if_else(pc.or_(first, bad), None, pc.if_else(pointed, pc.utf8_slice_codeunits(keys, 0, -1), keys))
+        words = pc.unique(base.drop_null())
+        fresh = words.filter(pc.is_null(pc.index_in(words, self._keys)))
+        known, codes = pa.concat_arrays([self._keys, fresh]), pa.concat_arrays([self._codes, self._in_line(fresh)])
+        out = codes.take(pc.index_in(base, known, skip_nulls=True))
+        end = self._point_codes.take(pc.index_in(pc.utf8_slice_codeunits(keys, -1), self._points))
+        out = pc.if_else(pointed, pc.binary_join_element_wise(out, pc.fill_null(end, b""), b""), out)
+        own = pc.and_(first, pc.invert(bad))
+        if pc.any(own).as_py():
+            made = pa.array([self.alone(w) for w in bare.filter(own).to_pylist()], pa.binary())
+            out = pc.replace_with_mask(out, own, made)
+        return out
+
+    def texts(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text."""
+        if not len(texts):
+            return []
         texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for odd in ("\0", *self._special):
+            whole |= pc.match_substring(texts, odd).to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        edges = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())].astype(np.int32)
         coded = pc.list_flatten(cut).dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        known = self._cache.known(set(keys), self._learn)
-        made = list(map(known.__getitem__, keys))
-        size = np.fromiter(map(len, made), np.int32, len(made)) // self.width
-        ids = np.frombuffer(b"".join(made), self._kind)
-        first = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
-        part = coded.indices.to_numpy()
-        edges = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]
-        whole = pc.match_substring_regex(texts, f"\\x00|{self._special}" if self._special else "\\x00").to_numpy(zero_copy_only=False)
-        if self._cache.empty:
-            empty = np.flatnonzero(size[part] == 0)
-            whole[np.searchsorted(edges, empty, side="right") - 1] = True
-        for lo in range(0, len(texts), SOME):
-            hi = min(lo + SOME, len(texts))
-            some = part[edges[lo] : edges[hi]]
-            n = size[some]
-            to = np.cumsum(n, dtype=np.int64)
-            flat = ids[np.repeat(first[some] - (to - n).astype(np.int32), n) + np.arange(to[-1] if len(to) else 0, dtype=np.int32)]
-            ends = np.r_[0, to][edges[lo + 1 : hi + 1] - edges[lo]].tolist()
-            raw, at = memoryview(flat.tobytes()), 0
-            for i, end in enumerate(ends, lo):
-                if whole[i]:
-                    text = texts[i].as_py()
-                    yield self._ids(text).tobytes() if text else b""
-                else:
-                    yield bytes(raw[at * self.width : end * self.width])
-                at = end
+        keys, part = coded.dictionary, coded.indices
+        del cut, coded
+        at = pc.index_in(keys, self._keys)
+        made = self._codes.take(at)
+        new = pc.is_null(at)
+        if pc.any(new).as_py():
+            made = pc.replace_with_mask(made, new, self._learn(keys.filter(new)))
+        none = pc.is_null(made).to_numpy(zero_copy_only=False)
+        if none.any():
+            whole[np.searchsorted(edges, np.flatnonzero(none[part.to_numpy()]), side="right") - 1] = True
+        keep = pc.and_(pc.is_valid(made), pc.less_equal(pc.binary_length(keys), LONGEST))
+        old = pc.is_null(pc.index_in(self._keys, keys))  # what this batch did not use is the first to go
+        self._keys = pa.concat_arrays([keys.filter(keep), self._keys.filter(old)]).slice(0, CACHE)
+        self._codes = pa.concat_arrays([made.filter(keep), self._codes.filter(old)]).slice(0, CACHE)
+        out = pc.binary_join(pa.ListArray.from_arrays(edges, pc.fill_null(made, b"").take(part)), b"").to_pylist()
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.alone(texts[i].as_py())
+        return out
 
 
 @lru_cache(2)
@@ -285,15 +293,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: list[int]) ->
     encoder, edges = encoder_of(path), np.array(bounds, np.int64)
     end = np.array([END_ID], f"<u{encoder.width}").tobytes()
     for batch in batches:
+        doc = pc.fill_null(batch["doc_id"], np.iinfo(np.int64).min).to_numpy()
+        first, last = np.searchsorted(edges, doc, side="left"), np.searchsorted(edges, doc, side="right")
+        made = iter(encoder.texts(batch["text"]))
         for lo in range(0, batch.num_rows, SOME):
-            some = batch.slice(lo, SOME)
-            ids = [raw + end for raw in encoder.texts(some["text"])]
+            ids = [raw + end for raw in islice(made, SOME)]
+            hi = lo + len(ids)
             h = np.fromiter((xxhash.xxh64_intdigest(raw) for raw in ids), np.uint64, len(ids))
-            doc = pc.fill_null(some["doc_id"], np.iinfo(np.int64).min).to_numpy()
-            first, last = np.searchsorted(edges, doc, side="left"), np.searchsorted(edges, doc, side="right")
-            part = first + ((h >> np.uint64(40)).astype(np.int64) * (last - first) >> 24)
+            part = first[lo:hi] + ((h >> np.uint64(40)).astype(np.int64) * (last[lo:hi] - first[lo:hi]) >> 24)
             order = (h ^ np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), some["doc_id"], pa.array(order), pa.array(ids, pa.binary())], ["part", "doc_id", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"].slice(lo, len(ids)), pa.array(order), pa.array(ids, pa.binary())], ["part", "doc_id", "h", "ids"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, block_ids: int) -> Iterator[pa.RecordBatch]:
@@ -320,7 +329,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, block_ids: int) -> It
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write its files to the folder ``path``."""
     spark = docs.sparkSession
-    bound_batches(spark, "8m")
+    bound_batches(spark, "6m")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = parts_for(rows, PART_BYTES)
     known = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("q")).first()["q"]
