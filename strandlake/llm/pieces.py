@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -38,17 +39,19 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.batches import Recent, bound_batches
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 300_000
 SOME = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-ALL_MARKS = re.compile(f"{MARK}{{2,}}")
+TWO_MARKS = MARK * 2
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 POINTS = r"\n.,;:!?|%$#&*"
 JOINS = re.compile(f"[{LATIN}][{POINTS}]|[{POINTS}][{LATIN}]")
@@ -124,9 +127,12 @@ class Pieces:
         self.model = model
         usable = [(p, i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k in (NORMAL, USER) and p]
         self.ids = dict(usable)
+        self._splits: dict[int, tuple[int, int] | None] = {}
+        self._stable: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in usable:
-            self.automaton.add_word(p, (len(p), i))
+            if model.type != BPE or self._own(i):  # merging never gives the others
+                self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.least = min((model.scores[i] for _, i in usable), default=0.0) - 10.0
         top = max((model.scores[i] for _, i in usable), default=0.0)
@@ -136,8 +142,12 @@ class Pieces:
         self.chunk = re.compile(f"{finer}{MARK}*[^{MARK}]+|{MARK}+")
         self._letters = {p for p in self.ids if len(p) == 1}
         self._cache = Recent(CACHE)
-        self._splits: dict[int, tuple[int, int] | None] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        # What pieces decode to alone; bytes beyond ASCII, control and unknown pieces depend on their neighbours or are no text.
+        shown = [p.replace(MARK, " ") if model.escape else p for p in model.pieces]
+        for b, i in model.byte_ids.items():
+            shown[i] = chr(b)
+        self._plain = np.array([k in (NORMAL, USER) or k == BYTE and p < "\x80" for k, p in zip(model.kinds, shown, strict=True)])
+        self._shown, self._texts = shown, pa.array(shown, pa.string())
 
     # Spaces
 
@@ -160,13 +170,12 @@ class Pieces:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         made = [self._normal(t or "") for t in texts]
         cut = [self.chunk.findall(m) if self.apart else [m] if m else [] for m in made]
-        learn = lambda keys: {k: np.array(self._ids(k), np.int32).tobytes() for k in keys}
-        known = self._cache.known(set(chain.from_iterable(cut)), learn)
+        known = self._cache.known(set(chain.from_iterable(cut)), self._learn)
         return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
 
     def _ids(self, text: str) -> list[int]:
         if self.model.type == BPE:
-            path = self._merged(text) if ALL_MARKS.search(text) else self._bpe_path(text)
+            path = self._merged(text) if TWO_MARKS in text else self._bpe_path(text)
         else:
             path = self._unigram_path(text)
         out = []
@@ -179,6 +188,36 @@ class Pieces:
                 out.append(self.model.unknown)
         return out
 
+    def _learn(self, keys: list[str]) -> dict[str, bytes]:
+        if self.model.type != BPE:
+            return {k: array("i", self._ids(k)).tobytes() for k in keys}
+        out, letters, path = {}, self._letters.issuperset, self._bpe_ids
+        for k in keys:
+            out[k] = array("i", path(k) if letters(k) and TWO_MARKS not in k else self._ids(k)).tobytes()
+        return out
+
+    def _bpe_ids(self, text: str) -> list[int]:
+        """``_bpe_path`` for a text of the vocabulary's characters without runs of marks: ids alone."""
+        n, known, stable, wide = len(text), self._stable, self._is_stable, len(self.model.pieces)
+        last: list = [-2] + [None] * n
+        begin = [0] * (n + 1)
+        for end, (size, piece) in self.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                start = end - size
+                before = last[start]
+                if start:
+                    ok = known.get(before * wide + piece)
+                    if not (stable(before, piece) if ok is None else ok):
+                        continue
+                last[end], begin[end] = piece, start
+        out = []
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        out.reverse()
+        return out
+
     @staticmethod
     def _walk(last: list, n: int) -> list[tuple[int, int, int]]:
         path, at = [], n
@@ -210,7 +249,7 @@ class Pieces:
         return self._walk(last, n)
 
     def _bpe_path(self, text: str) -> list[tuple[int, int, int]]:
-        n, known, stable = len(text), self._stable, self._is_stable
+        n, known, stable, wide = len(text), self._stable, self._is_stable, len(self.model.pieces)
         last, begin = [-2] + [None] * n, [0] * (n + 1)
         if not self._letters.issuperset(text):
             for i, c in enumerate(text, 1):  # no piece ends at a character outside the vocabulary
@@ -223,11 +262,11 @@ class Pieces:
             start = end - size
             before = last[start]
             if before < 0:
-                ok = self._own(piece)
+                ok = True
             else:
-                ok = known.get((before, piece))
+                ok = known.get(before * wide + piece)
                 if ok is None:
-                    ok = self._own(piece) and stable(before, piece)
+                    ok = stable(before, piece)
             if ok:
                 last[end], begin[end] = piece, start
         path = []
@@ -284,7 +323,7 @@ class Pieces:
                 b, limit, of_right = sb[0], rb, True
         if len(self._stable) > CACHE:
             self._stable.clear()
-        self._stable[left, right] = ok
+        self._stable[left * len(self.model.pieces) + right] = ok
         return ok
 
     def _merged(self, text: str, steps: list | None = None) -> list[tuple[int, int, int]]:
@@ -323,7 +362,11 @@ class Pieces:
 
     def decode(self, ids) -> str:
         m, out, raw = self.model, [], bytearray()
-        for i in ids:
+        ids = np.asarray(ids, np.int64)
+        if self._plain[ids].all():
+            text = "".join(map(self._shown.__getitem__, ids.tolist()))
+            return text[1:] if m.prefix and text.startswith(" ") else text
+        for i in ids.tolist():
             if m.kinds[i] == BYTE:
                 raw.append(int(m.pieces[i][3:5], 16))
                 continue
@@ -341,6 +384,21 @@ class Pieces:
             text = text.replace(MARK, " ")
         return text[1:] if m.prefix and text.startswith(" ") else text
 
+    def same(self, ids: list[np.ndarray], texts: list[str | None]) -> np.ndarray:
+        """Whether each array of ids decodes to its text (null: empty). Ids that all are plain pieces are decoded in columns."""
+        edges = np.r_[0, np.cumsum([len(i) for i in ids])]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        odd = np.flatnonzero(~self._plain[flat])
+        made = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), self._texts.take(pa.array(flat))), "")
+        want = pa.array([t or "" for t in texts], pa.string())
+        if self.model.prefix:  # one leading space does not count
+            made_so = pc.starts_with(made, " ")
+            want = pc.if_else(made_so, pc.binary_join_element_wise("", want, " "), want)
+        out = pc.equal(made, want).to_numpy(zero_copy_only=False).copy()
+        for i in np.unique(np.searchsorted(edges, odd, side="right") - 1).tolist():
+            out[i] = self.decode(ids[i]) == (texts[i] or "")
+        return out
+
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> Column:
     """Struct (ids array, n_pieces, ids_crc32, round_trip) for a text column."""
@@ -349,8 +407,11 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> Column:
     @F.pandas_udf("ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
         made = load(model)
-        ids = [i for lo in range(0, len(texts), SOME) for i in made.encode_all(texts.iloc[lo : lo + SOME].tolist())]
-        trip = [made.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+        ids, trip = [], np.zeros(len(texts), bool)
+        for lo in range(0, len(texts), SOME):
+            some = texts.iloc[lo : lo + SOME].tolist()
+            ids += made.encode_all(some)
+            trip[lo : lo + SOME] = made.same(ids[lo:], some)
         return pd.DataFrame({"ids": ids, "n_pieces": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in ids], "round_trip": trip})
 
     return run(F.col(text))
