@@ -6,21 +6,27 @@ Vectors of one label are compared by cosine in double precision. Steps:
    Equal vectors of a label become one class with a weight, so a very common vector is one node.
 2. Centroids are fitted for each label on a bounded sample (``SAMPLE`` classes in all; spherical
    k-means, about ``SHARD`` vectors a centroid, at least 8 sampled vectors for each). Every class
-   is dealt to the shards of its ``overlap`` nearest centroids; a shard above ``SHARD_MOST`` is split
+   is dealt to the shards of its ``overlap`` nearest centroids. Shards above ``SPLIT`` get centroids of their own, fitted to a
+   sample of each, level by level, so shards stay small whatever the number of vectors; a tight clump is not
+   divided. A shard above ``SHARD_MOST`` is split
    into blocks, and all pairs of its blocks become shards, so none of its pairs is lost.
 3. Each shard's graph: candidates by exact similarity within the shard, then robust pruning: a
    neighbour is dropped when a nearer kept neighbour is closer to it by the factor alpha.
-4. Adjacency lists of a class from all its shards are united.
+4. Adjacency lists of a class from all its shards are united; the ``LIST`` nearest stay.
 5. Each shard is searched with the united lists, for all its vectors as queries: a greedy
    beam search from the query's own node and the medoids of all connected parts of the graph, which
    expands its range: all nodes within the threshold are expanded until no new one turns up. A bounded
    set of the shard's queries is compared exactly; below ``recall`` the whole shard is, in blocks.
 6. Found pairs are verified by the exact cosine, counted once (in the least shard that both
-   share), and each shard emits link counts and a spanning forest, not pairs.
+   share), and each shard emits link counts and a spanning forest, not pairs. The range then goes on across shards: from a
+   query over its near neighbours to what these list, where query and listed vector share no shard, by joins
+   on the united lists, until no new link turns up.
 7. The recall is audited: a bounded set of classes is compared with all, in blocks. Below
    ``recall`` the overlap and beam double and the graph is built again. Both audits average the recall of
    queries, each weighted by 1 / (1 + its near classes), so that a clump counts about as much as a pair.
 
+Classes are named by a 64-bit hash of label and vector; should two share one, all are named anew with another seed.
+
 Defined results: a null label or a vector that cannot be compared gives n_links 0 and its own
 component; repeated rows are vectors of one class, linked with each other; a null
 vec_id counts as a vector but names no component; an empty table gives an empty table.
@@ -35,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.batches import drawn
+from strandlake.llm.batches import drawn, uniform
 from strandlake.operators.graph import connected_components
 from strandlake.plans.shared import discard, written
 
@@ -43,6 +49,11 @@ THRESHOLD = 0.93
 SAMPLE = 20_000
 SHARD = 1500
 SHARD_MOST = 4096
+SPLIT = 6000
+SPLIT_SAMPLE = 4096
+LEVELS = 4
+TASK_ROWS = 200_000
+LIST = 48
 OVERLAP = 2
 DEGREE = 24
 CANDIDATES = 64
@@ -80,17 +91,22 @@ def fit_centroids(classes: DataFrame, *, sample: int = SAMPLE, shard: int = SHAR
     for key, rows in some.groupby(["label", "dim"]):
         x = _unit(rows["vec"])
         k = int(max(1, min(-(-sizes[key] // shard), len(x) // 8)))
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(6 if k > 1 else 1):
-            near = np.argmax(x @ c.T, axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
-        out[key] = c
+        out[key] = _means(x, k, rng)
     return out
 
 
+def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(6 if k > 1 else 1):
+        near = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
+    return c
+
+
 def _dealt(classes: DataFrame, centroids: dict, overlap: int, number: str) -> DataFrame:
     """A row for each class and shard: (label, dim, cid, vec, weight, shards, shard)."""
 
@@ -110,8 +126,76 @@ def _dealt(classes: DataFrame, centroids: dict, overlap: int, number: str) -> Da
             part["shards"] = shards
             yield part[["label", "dim", "cid", "vec", "weight", "shards"]]
 
-    dealt = classes.mapInPandas(run, f"label long, dim int, cid long, vec {number}, weight long, shards array<int>")
-    return dealt.withColumn("shard", F.explode("shards"))
+    dealt = classes.mapInPandas(run, f"label long, dim int, cid long, vec {number}, weight long, shards array<long>")
+    rows = dealt.withColumn("shard", F.explode("shards"))
+    if not any(len(c) > 1 for c in centroids.values()) and classes.limit(SPLIT + 1).count() <= SPLIT:
+        return rows
+    fine = _refined(written(rows.drop("shards"), "dealt"), overlap, number)
+    if fine is None:
+        return rows
+    of = fine.groupBy("cid").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+    return fine.join(of, "cid").select("label", "dim", "cid", "vec", "weight", "shards", "shard")
+
+
+def _refined(rows: DataFrame, overlap: int, number: str) -> DataFrame | None:
+    """``rows`` with shards above ``SPLIT`` divided by centroids of their own; None where no shard is.
+
+    Centroids are not collected: each shard's row of them is sorted in front of the shard's vectors.
+    """
+    keys, changed = ["label", "dim", "shard"], False
+    for level in range(LEVELS):
+        big = rows.groupBy(*keys).count().where(F.col("count") > SPLIT)
+        ways = F.least(F.ceil(F.col("count") / SHARD), F.lit(SPLIT_SAMPLE // 8)).cast("int")
+        big = written(big.select(*keys, ways.alias("ways"), F.col("count").alias("n")), "big-shards")
+        if not big.limit(1).count():
+            break
+
+        def fit(part: pd.DataFrame) -> pd.DataFrame:
+            x, k = _unit(part["vec"]), int(part["ways"].iloc[0])
+            mean = x.mean(axis=0)
+            tight = float(mean @ mean) >= 0.9  # most pairs are near each other: a clump is compared whole
+            k = min(k, len(x) // 8)
+            first = part[[*keys]].iloc[:1].assign(n=part["n"].iloc[0])
+            made = [_means(x, k, np.random.default_rng(5)).tobytes()] if k > 1 and not tight else []
+            return first.iloc[: len(made)].assign(centroids=pd.Series(made, index=first.index[: len(made)], dtype=object))
+
+        share = F.least(F.lit(1.0), F.col("ways") * 8 / F.col("n"))
+        some = rows.join(big, keys).where(uniform(f"split{level}", "cid") < share)
+        made = some.groupBy(*keys).applyInPandas(fit, "label long, dim int, shard long, n long, centroids binary")
+        made = written(made, "split-centroids")
+        if not made.limit(1).count():
+            break
+        salts = F.ceil(F.col("n") / TASK_ROWS).cast("int")
+        zero = F.lit(0).cast("long")  # nulls would turn pandas' integers into floats
+        heads = made.select(*keys, zero.alias("cid"), zero.alias("weight"), "centroids", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        whole = rows.join(made.select(*keys, salts.alias("salts")), keys)
+        whole = whole.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int")).drop("salts")
+        both = whole.unionByName(heads, allowMissingColumns=True)
+        both = both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", F.col("centroids").isNull())
+
+        def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, c = None, np.zeros((1, 1))
+            for part in parts:
+                part["to"] = None
+                for key, at in part.groupby([*keys, "salt"]).indices.items():
+                    if part["centroids"].iloc[at[0]] is not None:
+                        held, c, at = key, np.frombuffer(part["centroids"].iloc[at[0]]).reshape(-1, key[1]), at[1:]
+                    assert key == held
+                    if len(at):
+                        m = max(1, min(overlap, len(c) // 4))  # children must be smaller than their shard
+                        near = np.argpartition(-(_unit(part["vec"].iloc[at]) @ c.T), m - 1, axis=1)[:, :m]
+                        part.iloc[at, part.columns.get_loc("to")] = pd.Series(near.tolist(), index=part.index[at])
+                part = part[part["centroids"].isna()]
+                yield part[["label", "dim", "cid", "vec", "weight", "shard", "to"]]
+
+        split = both.mapInPandas(deal, f"label long, dim int, cid long, vec {number}, weight long, shard long, to array<int>")
+        split = split.withColumn("to", F.explode("to")).withColumn("shard", F.xxhash64("shard", "to").bitwiseAND(F.lit((1 << 62) - 1))).drop("to")
+        rest = rows.join(made.select(*keys), keys, "left_anti").select(split.columns)
+        after = written(split.unionByName(rest), "refined")
+        discard(rows)
+        rows, changed = after, True
+    # A class may come to one shard by two ways.
+    return rows.dropDuplicates(["cid", "shard"]) if changed else None
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -203,7 +287,43 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     x = _unit(rows["vec"]).astype(np.float32)
     ids = rows["cid"].to_numpy()
     lists = robust_prune(x)
-    return pd.DataFrame({"cid": ids, "near": [ids[r[r >= 0]].tolist() for r in lists]})
+    near = []
+    for v, r in zip(x, lists, strict=True):
+        r = r[r >= 0]
+        near.append([{"cos": float(c), "id": int(i)} for c, i in zip(x[r] @ v, ids[r], strict=True)])
+    return pd.DataFrame({"cid": ids, "near": near})
+
+
+def _united(graph: DataFrame, threshold: float) -> DataFrame:
+    """(cid, near, close): the ``LIST`` nearest of a class's lists from all its shards, and the ``BACK`` nearest within the threshold."""
+    all_ = F.sort_array(F.flatten(F.collect_list("near")), asc=False)
+    rows = graph.groupBy("cid").agg(all_.alias("all"))
+    ids = lambda spans: F.array_distinct(F.transform(spans, lambda s: s["id"]))
+    return rows.select("cid", F.slice(ids(F.col("all")), 1, LIST).alias("near"), F.slice(ids(F.filter("all", lambda s: s["cos"] >= threshold - 1e-5)), 1, BACK).alias("close"))
+
+
+def _across(parts: DataFrame, united: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of classes without a common shard, found by following near neighbours' lists across shards."""
+    member = written(parts.select("cid", "shards").dropDuplicates(["cid"]), "members")
+    of = lambda name: member.select(F.col("cid").alias(name), F.col("shards").alias(f"{name}_in"))
+    lists = united.select(F.col("cid").alias("v"), F.explode("near").alias("w"))
+    vec = classes.select("cid", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    cosine = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (norm(F.col("x")) * norm(F.col("y")))
+    edges = united.select(F.col("cid").alias("q"), F.explode("close").alias("v"))
+    links = None
+    while True:
+        # Only a neighbour that lies in another shard too can list vectors from beyond.
+        away = edges.join(of("q"), "q").join(of("v"), "v").where(F.size(F.array_except("v_in", "q_in")) > 0).select("q", "q_in", "v")
+        pairs = away.join(lists, "v").join(of("w"), "w").where((F.col("q") != F.col("w")) & ~F.arrays_overlap("q_in", "w_in"))
+        pairs = pairs.select(F.least("q", "w").alias("a"), F.greatest("q", "w").alias("b")).distinct()
+        pairs = pairs if links is None else pairs.join(links, ["a", "b"], "left_anti")
+        near = pairs.join(vec.select(F.col("cid").alias("a"), F.col("vec").alias("x")), "a").join(vec.select(F.col("cid").alias("b"), F.col("vec").alias("y")), "b")
+        fresh = written(near.where(cosine >= threshold).select("a", "b"), "links-across")
+        if not fresh.limit(1).count():
+            return fresh if links is None else links
+        links = fresh if links is None else written(links.unionAll(fresh), "links-across")
+        edges = fresh.select(F.col("a").alias("q"), F.col("b").alias("v")).unionAll(fresh.select("b", "a"))
 
 
 def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> np.ndarray:
@@ -380,26 +500,34 @@ def _audit(classes: DataFrame, counted: DataFrame, threshold: float, most: int)
 
 def near_components(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall), a row for each vector."""
-    spark = vectors.sparkSession
     number = dict(vectors.dtypes)["embedding"]
     one_zero = F.transform("embedding", lambda v: F.when(v == 0, F.abs(v)).otherwise(v))
     rows = vectors.select("vec_id", one_zero.alias("vec"), F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"))
     able = comparable(F.col("vec"), F.col("label"))
     keyed = rows.withColumn("able", able)
     classes = keyed.where("able").groupBy("label", "dim", "vec").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
-    classes = classes.withColumn("cid", F.xxhash64("label", "vec"))
-    classes = written(classes, "classes")
+    plain, seed = classes, 0
+    while True:
+        cid = F.xxhash64(F.lit(seed), "label", "vec")
+        classes = written(plain.withColumn("cid", cid), "classes")
+        if not classes.groupBy("cid").count().where("count > 1").limit(1).count():
+            break
+        discard(classes)
+        seed += 1
     centroids = fit_centroids(classes)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         parts = written(_blocked(_dealt(classes.select("label", "dim", "cid", "vec", "weight"), centroids, overlap, number)), "parts")
         keys = ["label", "dim", "shard", "part"]
-        graph = parts.groupBy(*keys).applyInPandas(_build, "cid long, near array<long>")
-        united = graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        united = written(united, "graph")
-        whole = parts.join(united, "cid")
+        graph = parts.groupBy(*keys).applyInPandas(_build, "cid long, near array<struct<cos:float,id:long>>")
+        united = written(_united(graph, threshold), "graph")
+        whole = parts.join(united.select("cid", "near"), "cid")
         width = beam
         found = written(whole.groupBy(*keys).applyInPandas(lambda g: _search(g, threshold, width, recall, audit), "cid long, links long, parent long"), "found")
+        many = any(len(c) > 1 for c in centroids.values()) or parts.where(F.size("shards") > 1).limit(1).count()
+        if many:
+            beyond = _across(parts, united, classes, threshold)
+            weight = lambda me, other: classes.select(F.col("cid").alias(other), "weight").join(beyond, other).select(F.col(me).alias("cid"), F.col("weight").alias("links"), F.col(other).alias("parent"))
+            found = written(found.unionAll(weight("a", "b")).unionAll(weight("b", "a")), "found-all")
         counted = written(found.groupBy("cid").agg(F.sum("links").alias("links")), "counted")
         got = _audit(classes, counted, threshold, audit)
         most = max((len(c) for c in centroids.values()), default=1)
@@ -414,7 +542,7 @@ def near_components(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap
     info = classes.join(of, "cid", "left").join(counted, "cid", "left")
     info = info.select("label", "vec", "cid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     info = written(info.select("cid", "n_links", "component_id"), "info")
-    ids = keyed.select("vec_id", F.when(F.col("able"), F.xxhash64("label", "vec")).alias("cid"))
+    ids = keyed.select("vec_id", F.when(F.col("able"), cid).alias("cid"))
     ids = written(ids, "ids")
     linked = ids.where("cid is not null").join(info, "cid").select("vec_id", "n_links", "component_id")
     alone = ids.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import graphdedup as g
+from strandlake.llm.queries import op2_graph_components
 from tests.llm.helpers import groups
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -114,3 +116,57 @@ def test_a_hub_keeps_short_lists():
     wide = g.with_back_edges(lists)
     assert wide.shape[1] == 1 + 2 * g.BACK
     assert set(wide.ravel()) - {-1} == set(range(2001))
+
+
+def test_shards_are_divided_level_by_level(spark, monkeypatch):
+    """More vectors than first centroids would hold: no shard outgrows the bound, and links across shards are found."""
+    for name, value in (("SHARD", 60), ("SPLIT", 150), ("SPLIT_SAMPLE", 64), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(g, name, value)
+    monkeypatch.setattr(g.fit_centroids, "__kwdefaults__", {"sample": 24, "shard": 60})
+    x, _ = _pairs_and_clumps((40,), n=1500, dim=16, pairs=300)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int")
+    classes = table.select("label", F.lit(16).alias("dim"), F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"), F.lit(1).cast("long").alias("weight"))
+    classes = classes.withColumn("label", F.col("label").cast("long"))
+    dealt = g._dealt(classes, g.fit_centroids(classes), 2, "array<double>")
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert max(sizes) <= 150 and len(sizes) > 10
+    rows = dealt.collect()
+    assert {r.cid for r in rows} == set(range(1500)) and all(r.shard in r.shards for r in rows)
+    assert len({(r.cid, r.shard) for r in rows}) == len(rows) == sum(len(s) for s in {r.cid: r.shards for r in rows}.values())
+    got = g.near_components(table).toPandas().sort_values("vec_id")
+    near = _brute(x, np.zeros(len(x)))
+    found, truth = got["n_links"].to_numpy(), near.sum(axis=1)
+    assert (found <= truth).all() and found.sum() >= 0.95 * truth.sum()
+
+
+def test_links_across_shards(spark):
+    """q and w share no shard; v, near both, lists w."""
+    parts = spark.createDataFrame([(1, [10]), (2, [10, 20]), (3, [20]), (4, [30])], "cid long, shards array<long>")
+    angle = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    classes = spark.createDataFrame([(1, angle(0.0)), (2, angle(0.1)), (3, angle(0.2)), (4, angle(0.3))], "cid long, vec array<double>")
+    united = spark.createDataFrame([(1, [2], [2]), (2, [1, 3], [1, 3]), (3, [2, 4], [2]), (4, [3], [3])], "cid long, near array<long>, close array<long>")
+    got = {(r.a, r.b) for r in g._across(parts, united, classes, 0.93).collect()}
+    assert (1, 3) in got and (1, 2) not in got and (2, 3) not in got
+    assert got <= {(1, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def test_clashing_extra_columns(spark):
+    _, _, table = _table(spark, n=120)
+    more = table
+    for name in ("cid", "weight", "shard", "links", "vec", "component"):
+        more = more.withColumn(name, F.lit("mine"))
+    key = lambda df: sorted((r.vec_id, r.n_links, r.component_id) for r in df.collect())
+    assert key(g.near_components(more)) == key(g.near_components(table))
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    able = rows["label"].notna() & rows["embedding"].map(lambda v: v is not None and np.isfinite(np.array(v, float)).all() and np.any(v))
+    x, label = np.array(rows["embedding"][able].tolist(), float), rows["label"][able].to_numpy()
+    near = _brute(x, label)
+    ids = rows["vec_id"][able].to_numpy()
+    comp = groups(len(x), zip(*np.nonzero(np.triu(near)), strict=True))
+    least = {c: min(ids[i] for i in range(len(x)) if comp[i] == c) for c in set(comp)}
+    want = {ids[i]: (int(near[i].sum()), least[comp[i]]) for i in range(len(x))}
+    for r in op2_graph_components(spark, sf).collect():
+        assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)) and r.kept == (r.vec_id == r.component_id)
