@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Vector = tuple[Column, Column, Column]
@@ -164,3 +166,153 @@ def apply_operations(atoms: DataFrame, operations: DataFrame, coords: Sequence[s
     moved = [sum((F.col(f"r{i}{j}") * x[j - 1] for j in (1, 2, 3)), F.col(f"t{i}")) for i in (1, 2, 3)]
     keep = [c for c in atoms.columns if c not in coords]
     return out.select(*keep, "op_id", *[m.alias(c) for m, c in zip(moved, coords, strict=True)])
+
+
+def remove_pbc(atoms: DataFrame, box: Sequence[Sequence[float]], by: Sequence[str], order: Sequence[str], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Atoms of each molecule (``by``) joined again across the box's borders: each lies at the image nearest to the atom before it.
+
+    A molecule keeps the place of its first atom. A missing coordinate breaks the chain: what follows is missing too.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    here = vector(*coords)
+    first = F.row_number().over(w) == 1
+    step = [F.lag(c).over(w) for c in coords]
+    out = atoms.withColumn("_first", first).withColumn("_before", F.struct(*[s.alias(c) for s, c in zip(step, coords, strict=True)]))
+    near = nearest_image(minus(here, tuple(F.col(f"_before.{c}") for c in coords)), box)
+    out = out.withColumn("_step", F.struct(*[F.when(F.col("_first"), x).otherwise(n).alias(c) for x, n, c in zip(here, near, coords, strict=True)]))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.max(F.col(f"_step.{coords[0]}").isNull()).over(run)
+    return out.withColumns({c: F.when(~gap, F.sum(f"_step.{c}").over(run)) for c in coords}).drop("_first", "_before", "_step")
+
+
+# Symmetry -------------------------------------------------------------------------------
+
+
+def parse_symmetry(text: str) -> list[list[float]]:
+    """Rows (three factors and a shift) of an operation on fractions such as "x-y, -y+1/2, z"."""
+    rows = []
+    for part in text.lower().replace(" ", "").split(","):
+        row = [0.0] * 4
+        terms = re.findall(r"([+-]?)(?:([xyz])|(\d+(?:\.\d+)?)(?:/(\d+))?)", part)
+        if "".join(s + v + n + (f"/{d}" if d else "") for s, v, n, d in terms) != part or not part:
+            raise ValueError(f"no symmetry operation: {text!r}")
+        for sign, name, number, below in terms:
+            factor = -1.0 if sign == "-" else 1.0
+            if name:
+                row["xyz".index(name)] += factor
+            else:
+                row[3] += factor * float(number) / float(below or 1)
+        rows.append(row)
+    if len(rows) != 3:
+        raise ValueError(f"no symmetry operation: {text!r}")
+    return rows
+
+
+def operations(spark: SparkSession, rows: Sequence[Sequence[Sequence[float]]]) -> DataFrame:
+    """A table for ``apply_operations`` of operations with rows of three factors and a shift."""
+    names = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)] + ["t1", "t2", "t3"]
+    flat = [(n, *[float(v) for r in o for v in r[:3]], *[float(r[3]) for r in o]) for n, o in enumerate(rows)]
+    return spark.createDataFrame(flat, "op_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def symmetry_mates(atoms: DataFrame, box: Sequence[Sequence[float]], symmetry: Sequence[str], coords: Sequence[str] = ("x", "y", "z"), inside: bool = False) -> DataFrame:
+    """The unit cell: each atom under each symmetry operation; with ``inside`` every copy is moved into the box."""
+    ops = operations(atoms.sparkSession, [parse_symmetry(s) for s in symmetry])
+    in_cell = atoms.withColumns(dict(zip(coords, to_fraction(vector(*coords), box), strict=True)))
+    moved = apply_operations(in_cell, ops, coords)
+    place = tuple(f - F.floor(f) for f in vector(*coords)) if inside else vector(*coords)
+    return moved.withColumns(dict(zip(coords, from_fraction(place, box), strict=True)))
+
+
+def parse_assembly(expression: str) -> list[tuple[str, ...]]:
+    """Operation names of an assembly expression, each a product applied from the right: "(1-2)(X0)" gives (1, X0), (2, X0)."""
+    factors = re.findall(r"\(([^()]*)\)", expression) or [expression]
+
+    def names(part: str) -> list[str]:
+        out = []
+        for item in part.replace(" ", "").split(","):
+            span = re.fullmatch(r"(\d+)-(\d+)", item)
+            out += [str(i) for i in range(int(span[1]), int(span[2]) + 1)] if span else [item]
+        return out
+
+    return list(product(*map(names, factors)))
+
+
+def compose(first: Sequence[Sequence[float]], then: Sequence[Sequence[float]]) -> list[list[float]]:
+    """Rows of the operation ``then`` after ``first``."""
+    return [[sum(t[k] * first[k][j] for k in range(3)) + (t[3] if j == 3 else 0.0) for j in range(4)] for t in then]
+
+
+def as_matrix(rows: Sequence[Sequence[float]]) -> list[list[float]]:
+    """The 4 x 4 matrix of an operation."""
+    return [[float(v) for v in r] for r in rows] + [[0.0, 0.0, 0.0, 1.0]]
+
+
+def aligning_rotation(source: Sequence[float], target: Sequence[float]) -> list[list[float]]:
+    """The rotation that turns the direction of ``source`` to that of ``target``."""
+    def unit(v):
+        size = math.sqrt(sum(c * c for c in v))
+        if not size:
+            raise ValueError("a direction has no length")
+        return [c / size for c in v]
+
+    a, b = unit(source), unit(target)
+    axis = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    sine, cosine = math.sqrt(sum(c * c for c in axis)), sum(p * q for p, q in zip(a, b, strict=True))
+    if sine > 1e-12:
+        return axis_rotation(axis, math.atan2(sine, cosine))
+    if cosine > 0:
+        return [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    least = min(range(3), key=lambda i: abs(a[i]))  # half a turn about any direction at a right angle
+    other = [float(i == least) for i in range(3)]
+    return axis_rotation([a[1] * other[2] - a[2] * other[1], a[2] * other[0] - a[0] * other[2], a[0] * other[1] - a[1] * other[0]], math.pi)
+
+
+# Dihedrals of residues ------------------------------------------------------------------
+
+# Atoms of the side chains' dihedral angles.
+CHI = {
+    "ARG": "N CA CB CG CD NE CZ", "ASN": "N CA CB CG OD1", "ASP": "N CA CB CG OD1", "CYS": "N CA CB SG", "GLN": "N CA CB CG CD OE1", "GLU": "N CA CB CG CD OE1",
+    "HIS": "N CA CB CG ND1", "ILE": "N CA CB CG1 CD1", "LEU": "N CA CB CG CD1", "LYS": "N CA CB CG CD CE NZ", "MET": "N CA CB CG SD CE", "PHE": "N CA CB CG CD1",
+    "PRO": "N CA CB CG CD", "SER": "N CA CB OG", "THR": "N CA CB OG1", "TRP": "N CA CB CG CD1", "TYR": "N CA CB CG CD1", "VAL": "N CA CB CG1",
+}
+# Atoms of nucleotides' backbone angles; - and + are the residues before and after.
+BACKBONE = {
+    "alpha": "-O3' P O5' C5'", "beta": "P O5' C5' C4'", "gamma": "O5' C5' C4' C3'", "delta": "C5' C4' C3' O3'", "epsilon": "C4' C3' O3' +P", "zeta": "C3' O3' +P +O5'",
+}
+GLYCOSIDIC = {"purine": "O4' C1' N9 C4", "pyrimidine": "O4' C1' N1 C2"}
+
+
+def _places(atoms: DataFrame, by: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """A row for each residue: ``at`` maps atom names to coordinates (the first of a name)."""
+    rows = atoms.groupBy(*by, "atom_name").agg(F.first(F.struct("x", "y", "z")).alias("xyz"), *more)
+    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("atom_name", "xyz"))).alias("at"), *[F.first(c).alias(c) for c in ("res_name",) if c in rows.columns])
+
+
+def _angle_of(names: Sequence[str], maps: dict[str, Column]) -> Column:
+    point = lambda n: tuple(F.try_element_at(maps[n[0] if n[0] in "-+" else ""], F.lit(n.lstrip("-+")))[c] for c in "xyz")
+    return dihedral(*[point(n) for n in names])
+
+
+def dihedral_side_chain(atoms: DataFrame, by: Sequence[str] = ("chain_id", "res_id")) -> DataFrame:
+    """(by, res_name, chi1 to chi4) of each residue in radians; null where an atom or the angle is missing."""
+    rows = _places(atoms, by, [F.first("res_name").alias("res_name")])
+    chis = []
+    for n in range(4):
+        value = F.lit(None).cast("double")
+        for name, chain in CHI.items():
+            four = chain.split()[n : n + 4]
+            if len(four) == 4:
+                value = F.when(F.col("res_name") == name, _angle_of(four, {"": F.col("at")})).otherwise(value)
+        chis.append(value.alias(f"chi{n + 1}"))
+    return rows.select(*by, "res_name", *chis)
+
+
+def nucleotide_dihedrals(atoms: DataFrame, by: Sequence[str] = ("chain_id", "res_id")) -> DataFrame:
+    """(by, alpha to zeta, chi) of each nucleotide in radians; neighbours are the residues before and after in the chain."""
+    w = Window.partitionBy(*by[:-1]).orderBy(by[-1])
+    rows = _places(atoms, by).withColumn("_prev", F.lag("at").over(w)).withColumn("_next", F.lead("at").over(w))
+    maps = {"": F.col("at"), "-": F.col("_prev"), "+": F.col("_next")}
+    angles = [_angle_of(names.split(), maps).alias(name) for name, names in BACKBONE.items()]
+    chi = F.coalesce(*[_angle_of(GLYCOSIDIC[k].split(), maps) for k in ("purine", "pyrimidine")]).alias("chi")
+    return rows.select(*by, *angles, chi)

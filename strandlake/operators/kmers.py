@@ -6,11 +6,18 @@ ref_id, pos), partitioned by k-mer whenever it is joined; Spark splits hot k-mer
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequences import let, symbols
 
+SLICE = 1 << 16
+SOME = 64
+
 
 def informative(k: int, spacing: str | None = None) -> list[int]:
     """Offsets that count: 0 to k-1, or those of the ones of a spacing such as '1101'."""
@@ -22,8 +29,11 @@ def informative(k: int, spacing: str | None = None) -> list[int]:
     return at
 
 
-def kmers(seq: Column, alphabet: str, k: int, spacing: str | None = None) -> Column:
-    """Array of k-mer codes by start position; a sequence shorter than the k-mer has none."""
+def kmers(seq: Column, alphabet: str, k: int, spacing: str | None = None, masked: str = "") -> Column:
+    """Array of k-mer codes by start position; a sequence shorter than the k-mer has none.
+
+    k-mers with a symbol of ``masked`` at an informative position are null.
+    """
     at = informative(k, spacing)
     span, n = at[-1] + 1, len(alphabet)
 
@@ -32,12 +42,17 @@ def kmers(seq: Column, alphabet: str, k: int, spacing: str | None = None) -> Col
         places = F.when(F.size(codes) >= span, F.sequence(F.lit(0), F.size(codes) - span)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: sum((F.get(codes, i + o) * F.lit(n ** (k - 1 - j)).cast("long") for j, o in enumerate(at)), F.lit(0).cast("long")))
 
-    return let(F.transform(symbols(seq), lambda s: (F.instr(F.lit(alphabet), s) - 1).cast("long")), code)
+    def number(symbol: Column) -> Column:
+        at = (F.instr(F.lit(alphabet), symbol) - 1).cast("long")
+        return F.when(~symbol.isin(*masked), at) if masked else at
+
+    return let(F.transform(symbols(seq), number), code)
 
 
-def explode_kmers(sequences: DataFrame, alphabet: str, k: int, *, key: str = "seq_id", seq: str = "seq", spacing: str | None = None) -> DataFrame:
-    """(kmer, ref_id, pos): the index of sequences."""
-    return sequences.select(F.col(key).alias("ref_id"), F.posexplode(kmers(F.col(seq), alphabet, k, spacing)).alias("pos", "kmer")).select("kmer", "ref_id", "pos")
+def explode_kmers(sequences: DataFrame, alphabet: str, k: int, *, key: str = "seq_id", seq: str = "seq", spacing: str | None = None, masked: str = "") -> DataFrame:
+    """(kmer, ref_id, pos): the index of sequences, without k-mers that hold a masked symbol."""
+    rows = sequences.select(F.col(key).alias("ref_id"), F.posexplode(kmers(F.col(seq), alphabet, k, spacing, masked)).alias("pos", "kmer")).select("kmer", "ref_id", "pos")
+    return rows.where("kmer IS NOT NULL") if masked else rows
 
 
 def without_masked(index: DataFrame, masks: DataFrame, k: int, spacing: str | None = None) -> DataFrame:
@@ -158,15 +173,66 @@ def minimizers(index: DataFrame, window: int, order: Column | None = None) -> Da
     return best.where(F.col("_full") == window).select("ref_id", F.col("_best.p").alias("pos"), F.col("_best.k").alias("kmer")).distinct()
 
 
+def _codes(seq: str | None, alphabet: str, k: int) -> np.ndarray:
+    """Codes of a sequence's k-mers."""
+    table = np.full(128, -1, np.int64)
+    table[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    raw = np.frombuffer((seq or "").encode("utf-32-le"), np.uint32)
+    one = np.where(raw < 128, table[np.minimum(raw, 127)], -1)
+    out = np.zeros(max(len(one) - k + 1, 0), np.int64)
+    for j in range(k):
+        out = out * len(alphabet) + one[j : j + len(out)]
+    return out
+
+
+def _least(rank: np.ndarray, window: int) -> np.ndarray:
+    """Position of the least value of each window, the leftmost of equals."""
+    n = max(len(rank) - window + 1, 0)
+    out = np.zeros(n, np.int64)
+    for lo in range(0, n, SLICE):
+        hi = min(lo + SLICE, n)
+        out[lo:hi] = np.lib.stride_tricks.sliding_window_view(rank[lo : hi + window - 1], window).argmin(axis=1) + np.arange(lo, hi)
+    return out
+
+
+def _chosen(sequences: DataFrame, key: str, seq: str, choose: Callable[[str | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(ref_id, pos, kmer) from (positions, codes) of each sequence: a row is read whole, so nothing is shuffled."""
+    kind = dict(sequences.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SOME):
+                part = batch.slice(lo, SOME)
+                got = [choose(t) for t in part["seq"].to_pylist()]
+                at = np.repeat(np.arange(len(got)), [len(p) for p, _ in got])
+                pos, kmer = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part["ref_id"].take(pa.array(at)), pa.array(pos.astype(np.int32)), pa.array(kmer.astype(np.int64))], ["ref_id", "pos", "kmer"])
+
+    return sequences.select(F.col(key).alias("ref_id"), F.col(seq).alias("seq")).mapInArrow(run, f"ref_id {kind}, pos int, kmer long")
+
+
+def row_minimizers(sequences: DataFrame, alphabet: str, k: int, window: int, *, order: Callable[[np.ndarray], np.ndarray] | None = None, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """As ``minimizers`` for sequences that are one row each: no shuffle. ``order`` gives the ranks of codes."""
+
+    def choose(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        codes = _codes(text, alphabet, k)
+        at = np.unique(_least(codes if order is None else order(codes), window))
+        return at, codes[at]
+
+    return _chosen(sequences, key, seq, choose)
+
+
 def syncmers(sequences: DataFrame, alphabet: str, k: int, s: int, *, offsets: tuple[int, ...] = (0,), key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(ref_id, pos, kmer): k-mers whose least s-mer, the leftmost of equals, starts at one of the offsets."""
+    """(ref_id, pos, kmer): k-mers whose least s-mer, the leftmost of equals, starts at one of the offsets. No shuffle."""
     width = k - s + 1
     wanted = [o + width if o < 0 else o for o in offsets]
-    smers = explode_kmers(sequences, alphabet, s, key=key, seq=seq)
-    frame = Window.partitionBy("ref_id").orderBy("pos").rowsBetween(0, width - 1)
-    best = smers.withColumn("_best", F.min(F.struct("kmer", "pos")).over(frame)).withColumn("_full", F.count("*").over(frame))
-    chosen = best.where((F.col("_full") == width) & (F.col("_best.pos") - F.col("pos")).isin(*wanted)).select("ref_id", "pos")
-    return explode_kmers(sequences, alphabet, k, key=key, seq=seq).join(chosen, ["ref_id", "pos"]).select("ref_id", "pos", "kmer")
+
+    def choose(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        least = _least(_codes(text, alphabet, s), width)
+        at = np.flatnonzero(np.isin(least - np.arange(len(least)), wanted))
+        return at, _codes(text, alphabet, k)[at]
+
+    return _chosen(sequences, key, seq, choose)
 
 
 def mincode(index: DataFrame, codes: int, compression: float) -> DataFrame:

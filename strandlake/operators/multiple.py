@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.operators import kernels, trees
 
@@ -19,6 +20,34 @@ def parse_matrix(text: str) -> dict[tuple[str, str], int]:
     return {(row[0], c): int(v) for row in lines[1:] for c, v in zip(columns, row[1:], strict=True)}
 
 
+def load_matrix(path: str) -> dict[tuple[str, str], int]:
+    """A matrix from a file of the common text format; matrices are parameters, none is shipped."""
+    with open(path, encoding="utf-8") as f:
+        return parse_matrix(f.read())
+
+
+def list_matrices(folder: str) -> list[str]:
+    """Names of the matrix files (``.mat``) of a folder."""
+    return sorted(p.stem for p in Path(folder).glob("*.mat"))
+
+
+def match_matrix(alphabet: str, match: int, mismatch: int) -> dict[tuple[str, str], int]:
+    return {(a, b): match if a == b else mismatch for a in alphabet for b in alphabet}
+
+
+def score_frame(spark: SparkSession, matrix: dict[tuple[str, str], int], alphabet: str, other: str | None = None) -> DataFrame:
+    """(code1, code2, score) for k-mer similarity and joins; codes count in the alphabets."""
+    other = alphabet if other is None else other
+    rows = [(i, j, matrix[a, b]) for i, a in enumerate(alphabet) for j, b in enumerate(other)]
+    return spark.createDataFrame(rows, "code1 long, code2 long, score long")
+
+
+def matrix_text(matrix: dict[tuple[str, str], int]) -> str:
+    """The text that ``parse_matrix`` reads."""
+    rows, columns = list(dict.fromkeys(a for a, _ in matrix)), list(dict.fromkeys(b for _, b in matrix))
+    return "\n".join([" ".join(columns)] + [" ".join([a, *[str(matrix[a, b]) for b in columns]]) for a in rows]) + "\n"
+
+
 def is_symmetric(matrix: dict[tuple[str, str], int]) -> bool:
     return all(matrix.get((b, a)) == v for (a, b), v in matrix.items())
 

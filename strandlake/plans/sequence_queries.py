@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import codons
 from strandlake.functions import sequences as s
 from strandlake.operators import alignments, annotations, kmers, orfs, profiles
 from strandlake.plans.registry import query, table
@@ -86,8 +87,8 @@ def find_subsequence(spark, sf_dir):
     return nucleotides(spark, sf_dir).select("seq_id", hits.alias("hits"), s.find_symbol_first(seq, "G").cast("long").alias("first_g"), s.find_symbol_last(seq, "G").cast("long").alias("last_g"))
 
 
-def _codon_case(at: str) -> str:
-    return "CASE " + at + "".join(f" WHEN '{c}' THEN '{a}'" for c, a in s.codon_table().items()) + " END"
+def _codon_case(at: str, table: dict[str, str] | None = None) -> str:
+    return "CASE " + at + "".join(f" WHEN '{c}' THEN '{a}'" for c, a in (table or s.codon_table()).items()) + " END"
 
 
 @query(
@@ -99,6 +100,20 @@ def translate_complete(spark, sf_dir):
     return nucleotides(spark, sf_dir).select("seq_id", s.translate(whole).alias("protein"))
 
 
+_MITO = codons.table(2)
+
+
+@query(
+    f"""SELECT doc_id AS seq_id, array_to_string(list_transform(range(0, length(seq) // 3), lambda i: {_codon_case('seq[3 * i + 1:3 * i + 3]', _MITO.codons)}), '') AS protein,
+len(list_filter(range(0, length(seq) // 3), lambda i: seq[3 * i + 1:3 * i + 3] IN ({', '.join(f"'{c}'" for c in _MITO.starts)}))) AS n_starts
+FROM (SELECT doc_id, n[1:length(n) - length(n) % 3] AS seq FROM (SELECT doc_id, {NUC_SQL} AS n FROM documents))"""
+)
+def translate_mitochondrial(spark, sf_dir):
+    whole = F.substring(F.col("seq"), F.lit(1), F.length("seq") - F.length("seq") % 3)
+    starts = F.size(F.filter(F.regexp_extract_all(whole, F.lit("(?s).{3}"), F.lit(0)), _MITO.is_start)).cast("long")
+    return nucleotides(spark, sf_dir).select("seq_id", s.translate(whole, _MITO.codons).alias("protein"), starts.alias("n_starts"))
+
+
 @query(
     f"""WITH n AS (SELECT doc_id AS seq_id, {NUC_SQL} AS seq FROM documents),
 f AS (SELECT seq_id, seq, unnest([0, 1, 2]) AS f FROM n),
@@ -159,9 +174,7 @@ def kmer_match_counts(spark, sf_dir):
 
 @query(f"WITH {_kmers_sql('documents', 'doc_id', 6)}, m AS (SELECT id, i - 1 AS pos FROM km_p WHERE seq[i] = 'G') SELECT kmer, count(*) AS n FROM km WHERE NOT EXISTS (SELECT 1 FROM km_s s WHERE s.id = km.id AND contains(s.seq[km.pos + 1:km.pos + 6], 'G')) GROUP BY kmer")
 def kmer_count_masked(spark, sf_dir):
-    seqs = nucleotides(spark, sf_dir)
-    masks = seqs.select(F.col("seq_id").alias("ref_id"), F.posexplode(s.symbols(F.col("seq"))).alias("pos", "c")).where("c = 'G'")
-    return kmers.count_kmers(kmers.without_masked(kmers.explode_kmers(seqs, "ACGT", 6), masks, 6))
+    return kmers.count_kmers(kmers.explode_kmers(nucleotides(spark, sf_dir), "ACGT", 6, masked="G"))
 
 
 _SCORE = "CASE WHEN {a} = {b} THEN 2 WHEN ({a} + {b}) % 2 = 0 THEN 0 ELSE -1 END"
@@ -188,7 +201,7 @@ w AS (SELECT id, count(*) OVER f AS full_, min({{'r': kmer, 'p': pos}}) OVER f A
 SELECT DISTINCT id AS ref_id, best.p::BIGINT AS pos, best.r AS kmer FROM w WHERE full_ = 10"""
 )
 def minimizers(spark, sf_dir):
-    out = kmers.minimizers(kmers.explode_kmers(nucleotides(spark, sf_dir), "ACGT", 8), 10)
+    out = kmers.row_minimizers(nucleotides(spark, sf_dir), "ACGT", 8, 10)
     return out.select("ref_id", F.col("pos").cast("long").alias("pos"), "kmer")
 
 

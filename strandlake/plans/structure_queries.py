@@ -241,6 +241,30 @@ def assembly(spark, sf_dir):
     return g.apply_operations(points(spark, sf_dir), ops).select("op_id", "atom_idx", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
+_STEP = ", ".join(f"CASE WHEN i = 1 THEN {c} ELSE {c} - p{c} - {BOX[k][k]} * (floor(({c} - p{c}) / {BOX[k][k]}) + CASE WHEN ({c} - p{c}) / {BOX[k][k]} - floor(({c} - p{c}) / {BOX[k][k]}) > 0.5 THEN 1 ELSE 0 END) END AS s{c}" for k, c in enumerate("xyz"))
+
+
+@query(
+    f"""WITH {_p()}, o AS (SELECT *, row_number() OVER w AS i, {", ".join(f"lag({c}) OVER w AS p{c}" for c in "xyz")} FROM p WHERE x IS NOT NULL WINDOW w AS (PARTITION BY res_id ORDER BY atom_idx)),
+s AS (SELECT res_id, atom_idx, {_STEP} FROM o)
+SELECT atom_idx, {", ".join(f"round(sum(s{c}) OVER (PARTITION BY res_id ORDER BY atom_idx ROWS UNBOUNDED PRECEDING), 5)::DOUBLE AS {c}" for c in "xyz")} FROM s"""
+)
+def remove_pbc(spark, sf_dir):
+    """Four atoms of a residue are one molecule."""
+    atoms = points(spark, sf_dir).where("x IS NOT NULL")
+    return g.remove_pbc(atoms, BOX, ["res_id"], ["atom_idx"]).select("atom_idx", *[F.round(c, 5).alias(c) for c in "xyz"])
+
+
+@query(
+    f"""WITH {_p()} SELECT op_id, atom_idx, round(CASE op_id WHEN 0 THEN x WHEN 1 THEN -x + {BOX[0][0]} / 2 ELSE -y / {BOX[1][1]} * {BOX[0][0]} END, 5)::DOUBLE AS x,
+round(CASE op_id WHEN 0 THEN y WHEN 1 THEN -y ELSE (x / {BOX[0][0]} - y / {BOX[1][1]}) * {BOX[1][1]} END, 5)::DOUBLE AS y, round(CASE op_id WHEN 0 THEN z WHEN 1 THEN z + {BOX[2][2]} / 2 ELSE z + {BOX[2][2]} / 3 END, 5)::DOUBLE AS z
+FROM p, (SELECT unnest([0, 1, 2])::BIGINT AS op_id)"""
+)
+def symmetry_mates(spark, sf_dir):
+    out = g.symmetry_mates(points(spark, sf_dir), BOX, ["x, y, z", "-x+1/2, -y, z+1/2", "-y, x-y, z+1/3"])
+    return out.select("op_id", "atom_idx", *[F.round(c, 5).alias(c) for c in "xyz"])
+
+
 # Spatial joins --------------------------------------------------------------------------
 
 _D2 = "(a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2"
