@@ -6,6 +6,7 @@ further triples are further models. Line items in order are atoms; part and supp
 
 from __future__ import annotations
 
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -312,17 +313,36 @@ def hydrogen_bonds(spark, sf_dir):
     return out.select("chain_id", "donor", "hydrogen", "acceptor", F.round("theta", 4).alias("theta"), F.round("dist", 6).alias("dist"))
 
 
-@query()
+_RINGS = "(r.x - l.x) * {m}y - (r.y - l.y) * {m}x, (r.y - l.y) * {m}z - (r.z - l.z) * {m}y, (r.z - l.z) * {m}x - (r.x - l.x) * {m}z"
+
+
+def _off(m: str) -> str:
+    return f"sqrt({' + '.join(f'({c})**2' for c in _RINGS.format(m=m).split(', '))}) / sqrt({m}x**2 + {m}y**2 + {m}z**2)"
+
+
+@query(
+    f"""WITH {_p()}, {_p('n', 1)}, c AS (SELECT p.chain_id, p.atom_idx AS ring, p.x, p.y, p.z, n.x AS nx, n.y AS ny, n.z AS nz FROM p JOIN n USING (atom_idx)),
+t AS (SELECT l.chain_id, l.ring, r.ring AS r_ring, sqrt((l.x - r.x)**2 + (l.y - r.y)**2 + (l.z - r.z)**2) AS dist, least({_off('l.n')}, {_off('r.n')}) AS off,
+degrees(acos(least(1.0, abs(l.nx * r.nx + l.ny * r.ny + l.nz * r.nz) / (sqrt(l.nx**2 + l.ny**2 + l.nz**2) * sqrt(r.nx**2 + r.ny**2 + r.nz**2))))) AS bend
+FROM c l JOIN c r ON l.chain_id = r.chain_id AND l.ring < r.ring AND (l.x - r.x)**2 + (l.y - r.y)**2 + (l.z - r.z)**2 <= 0.81)
+SELECT * FROM (SELECT chain_id, ring, r_ring, CASE WHEN bend <= 30 AND dist <= 0.9 AND off <= 0.6 THEN 'parallel' WHEN bend >= 60 AND dist <= 0.8 AND off <= 0.6 THEN 'perpendicular' END AS kind, round(dist, 6)::DOUBLE AS dist FROM t) WHERE kind IS NOT NULL"""
+)
 def ring_stacking(spark, sf_dir):
     n = points(spark, sf_dir, 1).select("atom_idx", *[F.col(c).alias(f"n{c}") for c in "xyz"])
     rings = points(spark, sf_dir).join(n, "atom_idx").withColumnRenamed("atom_idx", "ring").drop("res_id")
-    return spatial.stacking(rings, parallel=(0.9, 0.6), perpendicular=(0.8, 0.6), by=["chain_id"])
+    return spatial.stacking(rings, parallel=(0.9, 0.6), perpendicular=(0.8, 0.6), by=["chain_id"]).withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(
+    f"""WITH {_p()}, a AS (SELECT chain_id, atom_idx, x, y, z, 0.2 + (atom_idx % 3) * 0.1 AS radius FROM p),
+u AS (SELECT i, 1 - (2 * i + 1) / 200.0::DOUBLE AS uz, pi() * (3 - sqrt(5.0::DOUBLE)) * i AS t FROM (SELECT unnest(range(0, 200)) AS i)),
+s AS (SELECT chain_id, atom_idx, radius::DOUBLE + 0.1 AS size, x + (radius::DOUBLE + 0.1) * sqrt(1 - uz * uz) * cos(t) AS x, y + (radius::DOUBLE + 0.1) * sqrt(1 - uz * uz) * sin(t) AS y, z + (radius::DOUBLE + 0.1) * uz AS z FROM a, u),
+h AS (SELECT *, EXISTS (SELECT 1 FROM a o WHERE o.chain_id = s.chain_id AND o.atom_idx <> s.atom_idx AND (s.x - o.x)**2 + (s.y - o.y)**2 + (s.z - o.z)**2 < (o.radius::DOUBLE + 0.1)**2) AS hidden FROM s)
+SELECT chain_id, atom_idx, round(4 * pi() * max(size)**2 * count(*) FILTER (NOT hidden) / 200.0::DOUBLE, 6)::DOUBLE AS sasa FROM h GROUP BY 1, 2"""
+)
 def solvent_area(spark, sf_dir):
     atoms = points(spark, sf_dir).withColumn("radius", 0.2 + (F.col("atom_idx") % 3) * 0.1)
-    return spatial.sasa(atoms, probe=0.1, points=200, most_radius=0.4, by=["chain_id"])
+    return spatial.sasa(atoms, probe=0.1, points=200, most_radius=0.4, by=["chain_id"]).withColumn("sasa", F.round("sasa", 6))
 
 
 # Comparison -----------------------------------------------------------------------------
@@ -390,13 +410,31 @@ def lddt_atom(spark, sf_dir):
     return _lddt(spark, sf_dir, "atom").select("atom_idx", F.round("lddt", 6).alias("lddt"))
 
 
-@query()
+def _key_matrix() -> list[list[str]]:
+    """The symmetric matrix whose greatest eigenvalue is the overlap after the best rotation (quaternion form)."""
+    rows = [["xx + yy + zz", "yz - zy", "zx - xz", "xy - yx"], ["", "xx - yy - zz", "xy + yx", "zx + xz"], ["", "", "-xx + yy - zz", "yz + zy"], ["", "", "", "-xx - yy + zz"]]
+    return [[f"({rows[min(i, j)][max(i, j)]})" for j in range(4)] for i in range(4)]
+
+
+def _determinant(m: list[list[str]]) -> str:
+    even = lambda p: sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2 == 0
+    return " ".join(("+ " if even(p) else "- ") + " * ".join(m[i][p[i]] for i in range(4)) for p in permutations(range(4)))
+
+
+@query(
+    f"""WITH {_p()}, {_p('q', 1)}, b AS (SELECT q.chain_id, {", ".join(f"p.{c} AS f{c}, q.{c} AS m{c}" for c in "xyz")} FROM p JOIN q USING (atom_idx)),
+c AS (SELECT chain_id, {", ".join(f"f{c} - avg(f{c}) OVER w AS f{c}, m{c} - avg(m{c}) OVER w AS m{c}, f{c} - m{c} AS d{c}" for c in "xyz")} FROM b WINDOW w AS (PARTITION BY chain_id)),
+s AS (SELECT chain_id, count(*) AS n, sum(fx**2 + fy**2 + fz**2) AS gf, sum(mx**2 + my**2 + mz**2) AS gm, avg(dx**2 + dy**2 + dz**2) AS d2, {", ".join(f"sum(m{i} * f{j}) AS {i}{j}" for i in "xyz" for j in "xyz")} FROM c GROUP BY 1),
+k AS (SELECT *, -2 * ({" + ".join(f"{i}{j}**2" for i in "xyz" for j in "xyz")}) AS c2, 8 * (xx * yz * zy + yy * zx * xz + zz * xy * yx - xx * yy * zz - yz * zx * xy - zy * yx * xz) AS c1, {_determinant(_key_matrix())} AS c0 FROM s),
+l AS (SELECT *, list_reduce(list_prepend((gf + gm) / 2, list_transform(range(0, 60), lambda i: i::DOUBLE)), lambda v, i: v - (v**4 + c2 * v**2 + c1 * v + c0) / (4 * v**3 + 2 * c2 * v + c1)) AS top FROM k)
+SELECT chain_id, round(sqrt((gf + gm - 2 * top) / n), 6)::DOUBLE AS rmsd, round(sqrt(d2), 6)::DOUBLE AS before FROM l"""
+)
 def superimpose_labels(spark, sf_dir):
     """Each label's second model fitted onto the first: deviation before and after."""
     fixed, mobile = points(spark, sf_dir).drop("chain_id", "res_id"), points(spark, sf_dir, 1)
     after = compare.rmsd(fixed, compare.superimpose(fixed, mobile, atom=["atom_idx"], by=["chain_id"]), atom=["atom_idx"], by=["chain_id"])
     before = compare.rmsd(fixed, mobile, atom=["atom_idx"], by=["chain_id"]).withColumnRenamed("rmsd", "before")
-    return after.join(before, "chain_id")
+    return after.join(before, "chain_id").select("chain_id", F.round("rmsd", 6).alias("rmsd"), F.round("before", 6).alias("before"))
 
 
 @query()
@@ -463,7 +501,14 @@ def bond_without_aromaticity(spark, sf_dir):
     return bonds.without_aromaticity(bonds.normalized(_edges(spark, sf_dir), order="ord"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem), both_ AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (
+  SELECT a, least(a, min(b)) FROM both_ GROUP BY a
+  UNION
+  (SELECT m.node, min(n.component) FROM recurring.cc m JOIN both_ ON both_.b = m.node JOIN cc n ON n.node = both_.a WHERE n.component < m.component GROUP BY m.node))
+SELECT node, component FROM cc"""
+)
 def molecules(spark, sf_dir):
     """Connected components of orders and parts."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("atom1"), (F.col("l_partkey") + 1_000_000_000).alias("atom2"))
