@@ -345,7 +345,20 @@ def evalues(spark, sf_dir):
     return p.select("seq_id", F.round(alignments.log_evalue(score, F.length("seq"), F.col("total"), lam=0.267, k=0.041), 6).alias("log_evalue"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT item_id, string_split({PROT_SQL}, '') AS s, length({PROT_SQL}) AS n FROM benchmark),
+pr AS (SELECT a.item_id AS id1, a.s AS s1, a.n AS n1, b.s AS s2, b.n AS n2 FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+dp(id1, i, m, x, y) AS (
+  SELECT id1, 0, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE -1000000000 END), list_transform(range(0, n2 + 1), lambda j: -1000000000),
+         list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -1000000000 ELSE -10 - (j - 1) END)
+  FROM pr
+  UNION ALL
+  SELECT id1, i + 1, nm, nx, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -1000000000 ELSE list_max(list_transform(range(0, j), lambda k: nm[k + 1] - 10 - (j - k - 1))) END)
+  FROM (SELECT dp.id1, i, n2, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -1000000000 ELSE greatest(m[j], x[j], y[j]) + CASE WHEN s1[i + 1] = s2[j] THEN 5 ELSE -4 END END) AS nm,
+               list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -10 - i ELSE greatest(m[j + 1] - 10, x[j + 1] - 1) END) AS nx
+        FROM dp JOIN pr ON pr.id1 = dp.id1 WHERE i < n1))
+SELECT dp.id1, greatest(m[-1], x[-1], y[-1])::BIGINT AS score FROM dp JOIN pr ON pr.id1 = dp.id1 WHERE i = n1"""
+)
 def optimal_align_score(spark, sf_dir):
     """Every pair of benchmark items' neighbours in id: global affine scores."""
     rows = proteins(spark, sf_dir, "benchmark", "item_id")

@@ -515,7 +515,13 @@ def molecules(spark, sf_dir):
     return bonds.connected(rows)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS mol, l_orderkey AS a, l_partkey + 1000000000 AS b FROM lineitem),
+h AS (SELECT mol, a AS u, b AS v FROM e UNION ALL SELECT mol, b, a FROM e), d AS (SELECT mol, u, count(*) AS n FROM h GROUP BY 1, 2),
+c AS (SELECT e.* FROM e JOIN d p ON p.mol = e.mol AND p.u = e.a JOIN d q ON q.mol = e.mol AND q.u = e.b WHERE p.n > 1 AND q.n > 1),
+r(mol, a, b, node) AS (SELECT mol, a, b, a FROM c UNION SELECT r.mol, r.a, r.b, h.v FROM r JOIN h ON h.mol = r.mol AND h.u = r.node WHERE NOT (h.u = r.a AND h.v = r.b) AND NOT (h.u = r.b AND h.v = r.a))
+SELECT mol, a AS atom1, b AS atom2, {bonds.SINGLE}::BIGINT AS bond_type FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.mol = c.mol AND r.a = c.a AND r.b = c.b AND r.node = c.b)"""
+)
 def rotatable_bonds(spark, sf_dir):
     """Bridges of each supplier's graph of orders and parts."""
     rows = table(spark, sf_dir, "lineitem")
