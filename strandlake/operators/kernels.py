@@ -17,62 +17,72 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("latin-1", "replace"), np.uint8).astype(np.int64) % 128
 
 
-def fill(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: tuple[int, int] | int, *, local: bool = False, terminal: bool = True, band: tuple[int, int] | None = None):
-    """Score matrices (m, x, y) of (n + 1, k + 1) cells: ending in a pair, in a gap of b, in a gap of a.
-
-    A linear gap is an affine one whose opening and extension cost the same, with
-    gap states free to follow each other. Along a row the gap of a is a running maximum:
-    y[j] = max over i < j of (m or x)[i] + open + extend * (j - i - 1).
-    """
+def _matrix_rows(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: tuple[int, int] | int, local: bool, terminal: bool, band: tuple[int, int] | None):
+    """The rows of the score matrices from the first on, as (m, x, y); only the row before is held."""
     opening, extend = (gap, gap) if isinstance(gap, int) else gap
     linear = isinstance(gap, int)
     n, k = len(a), len(b)
-    m, x, y = (np.full((n + 1, k + 1), LOW, np.int64) for _ in range(3))
-    m[0, 0] = 0
-    ramp = np.arange(k + 1) * extend
-    edge = lambda size: np.zeros(size, np.int64) if not terminal or local else opening + np.arange(size) * extend
+    low = np.full(k + 1, LOW, np.int64)
+    cols = np.arange(k + 1)
+    ramp = cols * extend
+    edge = lambda size: np.zeros(size, np.int64) if not terminal else opening + np.arange(size) * extend
+    m, x, y = low.copy(), low.copy(), low.copy()
     if local:
-        m[0, :] = m[:, 0] = 0
+        m[:] = 0
     else:
-        y[0, 1:] = edge(k)
-        x[1:, 0] = edge(n)
-    cols = np.arange(k + 1)
+        m[0], y[1:] = 0, edge(k)
+    first = edge(n)
+    yield m, x, y
     for i in range(1, n + 1):
-        before = np.maximum(np.maximum(m[i - 1], x[i - 1]), y[i - 1])
-        m[i, 1:] = before[:-1] + table[a[i - 1], b]
-        if local:
-            m[i, 1:] = np.maximum(m[i, 1:], 0)
-        from_m = np.maximum(m[i - 1], y[i - 1]) if linear else m[i - 1]
-        down = np.maximum(from_m + opening, x[i - 1] + extend)
+        top = np.maximum(np.maximum(m, x), y)
+        from_m = np.maximum(m, y) if linear else m
+        down = np.maximum(from_m + opening, x + extend)
         if not terminal and not local:
-            down[k] = max(m[i - 1, k], x[i - 1, k], y[i - 1, k] if linear else LOW)
+            down[k] = max(m[k], x[k], y[k] if linear else LOW)
         if local:
             down = np.where(down > 0, down, LOW)
-        x[i, 1:] = down[1:]
+        m, x, y = low.copy(), down, low.copy()
+        m[1:] = top[:-1] + table[a[i - 1], b]
         if local:
-            x[i, 0] = LOW
+            m[0], x[0] = 0, LOW
+            m[1:] = np.maximum(m[1:], 0)
+        else:
+            x[0] = first[i - 1]
         if band is not None:
             off = (cols - i < band[0]) | (cols - i > band[1])
-            m[i, off], x[i, off] = LOW, LOW
+            m[off], x[off] = LOW, LOW
             if local:
-                m[i, 0] = 0
-        source = np.maximum(m[i], x[i]) if linear else m[i]
+                m[0] = 0
+        source = np.maximum(m, x) if linear else m
         if not terminal and not local and i == n:
-            y[i, 1:] = np.maximum.accumulate(source)[:-1]
+            y[1:] = np.maximum.accumulate(source)[:-1]
         else:
-            y[i, 1:] = np.maximum.accumulate(source + opening - extend - ramp)[:-1] + ramp[1:]
+            y[1:] = np.maximum.accumulate(source + opening - extend - ramp)[:-1] + ramp[1:]
         if local:
-            y[i] = np.where(y[i] > 0, y[i], LOW)
+            y = np.where(y > 0, y, LOW)
         if band is not None:
-            y[i, off] = LOW
-    return m, x, y
+            y[off] = LOW
+        yield m, x, y
+
+
+def fill(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: tuple[int, int] | int, *, local: bool = False, terminal: bool = True, band: tuple[int, int] | None = None):
+    """Score matrices (m, x, y) of (n + 1, k + 1) cells: ending in a pair, in a gap of b, in a gap of a.
+
+    A linear gap is an affine one whose opening and extension cost the same, with
+    gap states free to follow each other. Along a row the gap of a is a running maximum:
+    y[j] = max over i < j of (m or x)[i] + open + extend * (j - i - 1).
+    """
+    return tuple(np.stack(rows) for rows in zip(*_matrix_rows(a, b, table, gap, local, terminal, band), strict=True))
 
 
 def best_score(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap, *, local: bool = False, terminal: bool = True, band=None) -> int:
-    m, x, y = fill(a, b, table, gap, local=local, terminal=terminal, band=band)
-    if local:
-        return int(max(0, m.max()))
-    return int(max(m[-1, -1], x[-1, -1], y[-1, -1]))
+    """The score alone: memory for two rows, whatever the sequences' lengths."""
+    best, last = 0, 0
+    for m, x, y in _matrix_rows(a, b, table, gap, local, terminal, band):
+        if local:
+            best = max(best, int(m.max()))
+        last = m[-1], x[-1], y[-1]
+    return best if local else int(max(last))
 
 
 def traceback(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap, *, local: bool = False, terminal: bool = True, band=None, most: int = 1) -> tuple[int, list[np.ndarray]]:

@@ -366,14 +366,46 @@ def optimal_align_score(spark, sf_dir):
     return pairs.select("id1", alignments.align_score(F.col("seq1"), F.col("seq2"), match=5, mismatch=-4, gap=(-10, -1)).alias("score"))
 
 
-@query()
+_OFF = "CASE WHEN j - (i + 1) NOT BETWEEN -60 AND 60 THEN -1000000000 ELSE {} END"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT item_id, string_split({PROT_SQL}, '') AS s, length({PROT_SQL}) AS n FROM benchmark),
+pr AS (SELECT a.item_id AS id1, a.s AS s1, a.n AS n1, b.s AS s2, b.n AS n2 FROM t a JOIN t b ON b.item_id = a.item_id + 1),
+dp(id1, i, m, x, y, best) AS (
+  SELECT id1, 0, list_transform(range(0, n2 + 1), lambda j: 0), list_transform(range(0, n2 + 1), lambda j: -1000000000), list_transform(range(0, n2 + 1), lambda j: -1000000000), 0 FROM pr
+  UNION ALL
+  SELECT id1, i + 1, nm, nx, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -1000000000 ELSE {_OFF.format("list_max(list_transform(range(0, j), lambda k: CASE WHEN nm[k + 1] - 10 - (j - k - 1) > 0 THEN nm[k + 1] - 10 - (j - k - 1) ELSE -1000000000 END))")} END), greatest(best, list_max(nm))
+  FROM (SELECT dp.id1, i, n2, best, list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE {_OFF.format("greatest(0, greatest(m[j], x[j], y[j]) + CASE WHEN s1[i + 1] = s2[j] THEN 5 ELSE -4 END)")} END) AS nm,
+               list_transform(range(0, n2 + 1), lambda j: CASE WHEN j = 0 THEN -1000000000 ELSE {_OFF.format("CASE WHEN greatest(m[j + 1] - 10, x[j + 1] - 1) > 0 THEN greatest(m[j + 1] - 10, x[j + 1] - 1) ELSE -1000000000 END")} END) AS nx
+        FROM dp JOIN pr ON pr.id1 = dp.id1 WHERE i < n1))
+SELECT dp.id1, best::BIGINT AS score FROM dp JOIN pr ON pr.id1 = dp.id1 WHERE i = n1"""
+)
 def banded_align_score(spark, sf_dir):
     rows = proteins(spark, sf_dir, "benchmark", "item_id")
     pairs = rows.select(F.col("seq_id").alias("id1"), F.col("seq").alias("seq1")).join(rows.select((F.col("seq_id") - 1).alias("id1"), F.col("seq").alias("seq2")), "id1")
     return pairs.select("id1", alignments.align_score(F.col("seq1"), F.col("seq2"), match=5, mismatch=-4, gap=(-10, -1), band=(-60, 60), local=True).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, {NUC_SQL} AS seq FROM documents), b AS (SELECT item_id AS id, {NUC_SQL} AS seq FROM benchmark),
+dk AS (SELECT id, i, substr(seq, i, 12) AS w, CASE WHEN i = 1 THEN '^' ELSE seq[i - 1] END AS was FROM (SELECT *, unnest(range(1, length(seq) - 10)) AS i FROM d WHERE length(seq) >= 12)),
+bk AS (SELECT id, i, substr(seq, i, 12) AS w, CASE WHEN i = 1 THEN '$' ELSE seq[i - 1] END AS was FROM (SELECT *, unnest(range(1, length(seq) - 10)) AS i FROM b WHERE length(seq) >= 12)),
+h AS (SELECT row_number() OVER () AS hit, dk.id AS q, bk.id AS r, dk.i AS u, bk.i AS v FROM dk JOIN bk USING (w) WHERE dk.was <> bk.was),
+l AS (SELECT h.*, d.seq AS s1, b.seq AS s2 FROM h JOIN d ON d.id = q JOIN b ON b.id = r),
+steps AS (
+  SELECT hit, 1 AS side, k, CASE WHEN s1[u + k] = s2[v + k] THEN 1 ELSE -1 END AS s FROM (SELECT *, unnest(range(1, least(length(s1) - u, length(s2) - v) + 1)) AS k FROM l)
+  UNION ALL
+  SELECT hit, 0, k, CASE WHEN s1[u - k] = s2[v - k] THEN 1 ELSE -1 END FROM (SELECT *, unnest(range(1, least(u, v))) AS k FROM l)),
+sums AS (SELECT hit, side, k, sum(s) OVER (PARTITION BY hit, side ORDER BY k) AS total FROM steps),
+tops AS (SELECT *, greatest(0, max(total) OVER (PARTITION BY hit, side ORDER BY k)) - total > 20 AS over FROM sums),
+ends AS (SELECT hit, side, min(k) FILTER (over) AS stop FROM tops GROUP BY 1, 2),
+best AS (SELECT hit, side, max(total) AS score, max(k) AS n FROM (SELECT t.*, max(total) OVER (PARTITION BY t.hit, t.side) AS top FROM tops t JOIN ends USING (hit, side) WHERE stop IS NULL OR k < stop) WHERE total = top AND top >= 0 GROUP BY 1, 2),
+done AS (SELECT q, r, 1 + coalesce(a.score, 0) + coalesce(c.score, 0) AS score, u - 1 - coalesce(c.n, 0) AS start1, v - 1 - coalesce(c.n, 0) AS start2, 1 + coalesce(a.n, 0) + coalesce(c.n, 0) AS length
+  FROM h LEFT JOIN best a ON a.hit = h.hit AND a.side = 1 LEFT JOIN best c ON c.hit = h.hit AND c.side = 0)
+SELECT q AS query_id, r AS ref_id, score::BIGINT AS score, start1::BIGINT AS start1, start2::BIGINT AS start2, length::BIGINT AS length
+FROM (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY score DESC, start1, start2, length) AS place FROM done) WHERE place = 1"""
+)
 def seed_extension(spark, sf_dir):
     """The best ungapped X-drop extension of each pair's 12-mer hits, on all diagonals, between documents and benchmark.
 
