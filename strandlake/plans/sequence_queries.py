@@ -13,6 +13,7 @@ from strandlake.functions import codons
 from strandlake.functions import sequences as s
 from strandlake.operators import alignments, annotations, kmers, orfs, profiles
 from strandlake.plans.registry import query, table
+from strandlake.plans.shared import spread
 
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 NUC_SQL = "upper(regexp_replace(text, '[^ACGTacgt]', '', 'g'))"
@@ -20,11 +21,11 @@ PROT_SQL = f"upper(regexp_replace(text, '[^{AMINO}{AMINO.lower()}]', '', 'g'))"
 
 
 def nucleotides(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("seq_id"), s.only(F.col("text"), "ACGT").alias("seq"))
+    return spread(table(spark, sf_dir, name).select(key, "text")).select(F.col(key).alias("seq_id"), s.only(F.col("text"), "ACGT").alias("seq"))
 
 
 def proteins(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("seq_id"), s.only(F.col("text"), AMINO).alias("seq"))
+    return spread(table(spark, sf_dir, name).select(key, "text")).select(F.col(key).alias("seq_id"), s.only(F.col("text"), AMINO).alias("seq"))
 
 
 def _kmers_sql(name: str, key: str, k: int, out: str = "km") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,21 +13,38 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Only where a local session names none, as in tests, a temporary folder is set; on a cluster that is an error, as
+    no folder of one machine is the others'.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         context = spark.sparkContext
         path = context.getCheckpointDir()
         if path is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="strandlake-"))
             path = context.getCheckpointDir()
     return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's part of it."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/strandlake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder: at its end, once no result is read any more."""
+    _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -45,9 +63,13 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_strandlake_path", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than these (one small file, say): only then rows are shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def small(df: DataFrame, most: int) -> bool:
