@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import graphdedup, langid, mixing, pieces, quality, rules, secrets, simhash, tokenfiles, urlfilter
 from strandlake.llm.oracles import ORACLES  # noqa: F401
-from strandlake.plans.shared import written
+from strandlake.plans.shared import spread, written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _vocabulary(name: str) -> str:
