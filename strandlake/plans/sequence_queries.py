@@ -235,45 +235,6 @@ def frequency_permutation(spark, sf_dir):
 # Profiles and alignments ----------------------------------------------------------------
 
 
-@query(
-    f"""WITH b AS (SELECT item_id, {NUC_SQL} AS seq FROM benchmark), p AS (SELECT seq, unnest(range(1, 31)) AS i FROM b WHERE length(seq) >= 30),
-c AS (SELECT i - 1 AS col, seq[i] AS symbol, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT col::BIGINT AS col, symbol, coalesce(n, 0)::BIGINT AS n, round((coalesce(n, 0) + 0.25) / (sum(coalesce(n, 0)) OVER (PARTITION BY col) + 1), 9)::DOUBLE AS p,
-round(log2((coalesce(n, 0) + 0.25) / (sum(coalesce(n, 0)) OVER (PARTITION BY col) + 1) / 0.25), 6)::DOUBLE AS log_odds
-FROM (SELECT a.col, s.symbol, c.n FROM (SELECT DISTINCT col FROM c) a CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS symbol) s LEFT JOIN c ON c.col = a.col AND c.symbol = s.symbol)"""
-)
-def profile_counts(spark, sf_dir):
-    rows = nucleotides(spark, sf_dir, "benchmark", "item_id").where("length(seq) >= 30").select("seq_id", F.substring("seq", 1, 30).alias("seq"))
-    made = profiles.counts(rows, "ACGT")
-    made = profiles.log_odds(profiles.probabilities(made, "ACGT", pseudocount=1), "ACGT")
-    return made.select(F.col("col").cast("long").alias("col"), "symbol", "n", F.round("p", 9).alias("p"), F.round("log_odds", 6).alias("log_odds"))
-
-
-@query(
-    f"""WITH b AS (SELECT item_id, {NUC_SQL} AS seq FROM benchmark), p AS (SELECT seq, unnest(range(1, 31)) AS i FROM b WHERE length(seq) >= 30),
-c AS (SELECT i - 1 AS col, seq[i] AS symbol, count(*) AS n FROM p GROUP BY 1, 2),
-m AS (SELECT col, string_agg(symbol, '' ORDER BY symbol) AS best FROM (SELECT *, max(n) OVER (PARTITION BY col) AS top FROM c) WHERE n = top GROUP BY col)
-SELECT string_agg(CASE best {' '.join(f"WHEN '{v}' THEN '{k}'" for k, v in {k: ''.join(sorted(v)) for k, v in s.IUPAC.items()}.items())} WHEN 'ACGT' THEN 'N' END, '' ORDER BY col) AS consensus FROM m"""
-)
-def profile_consensus(spark, sf_dir):
-    rows = nucleotides(spark, sf_dir, "benchmark", "item_id").where("length(seq) >= 30").select("seq_id", F.substring("seq", 1, 30).alias("seq"))
-    return profiles.consensus(profiles.counts(rows, "ACGT"))
-
-
-@query(
-    f"""WITH b AS (SELECT item_id, ({PROT_SQL})[1:40] AS seq FROM benchmark WHERE length({PROT_SQL}) >= 40)
-SELECT a.item_id AS id1, b.item_id AS id2, round(len(list_filter(range(1, 41), lambda i: a.seq[i] = b.seq[i])) / 40.0, 6)::DOUBLE AS identity,
-len(list_filter(range(1, 41), lambda i: a.seq[i] = b.seq[i])) * 5 - len(list_filter(range(1, 41), lambda i: a.seq[i] <> b.seq[i])) * 4 AS score
-FROM b a JOIN b ON a.item_id < b.item_id"""
-)
-def ungapped_identity(spark, sf_dir):
-    rows = proteins(spark, sf_dir, "benchmark", "item_id").where("length(seq) >= 40").select("seq_id", F.substring("seq", 1, 40).alias("seq"))
-    a, b = rows.select(F.col("seq_id").alias("id1"), F.col("seq").alias("a")), rows.select(F.col("seq_id").alias("id2"), F.col("seq").alias("b"))
-    pairs = a.join(F.broadcast(b), F.col("id1") < F.col("id2"))
-    same = alignments.identical_columns(F.col("a"), F.col("b"))
-    return pairs.select("id1", "id2", F.round(same / F.length("a"), 6).alias("identity"), (same * 5 - (F.length("a") - same) * 4).cast("long").alias("score"))
-
-
 def _padded(spark, sf_dir):
     """Benchmark nucleotides, each padded with gaps to the longest."""
     rows = nucleotides(spark, sf_dir, "benchmark", "item_id")
@@ -292,7 +253,7 @@ f AS (SELECT *, (n + 0.25) / (sum(n) OVER (PARTITION BY col) + 1) AS f FROM g)
 SELECT col::BIGINT AS col, symbol, n::BIGINT AS n, round(f, 9)::DOUBLE AS p, round(log2(f / 0.25), 6)::DOUBLE AS log_odds FROM f"""
 )
 def profile_counts_whole(spark, sf_dir):
-    """profile_counts over all letters of all items."""
+    """Counts and log-odds of each column over all letters of all items."""
     made = profiles.counts(_padded(spark, sf_dir), "ACGT")
     made = profiles.log_odds(profiles.probabilities(made, "ACGT", pseudocount=1), "ACGT")
     return made.select(F.col("col").cast("long").alias("col"), "symbol", "n", F.round("p", 9).alias("p"), F.round("log_odds", 6).alias("log_odds"))
@@ -304,7 +265,7 @@ m AS (SELECT col, string_agg(symbol, '' ORDER BY symbol) AS best FROM (SELECT *,
 SELECT string_agg(CASE best {' '.join(f"WHEN '{v}' THEN '{k}'" for k, v in {k: ''.join(sorted(v)) for k, v in s.IUPAC.items()}.items())} WHEN 'ACGT' THEN 'N' END, '' ORDER BY col) AS consensus FROM m"""
 )
 def profile_consensus_whole(spark, sf_dir):
-    """profile_consensus over all letters of all items."""
+    """The consensus over all letters of all items."""
     return profiles.consensus(profiles.counts(_padded(spark, sf_dir), "ACGT"))
 
 
@@ -314,7 +275,7 @@ o AS (SELECT a.item_id AS id1, b.item_id AS id2, least(length(a.seq), length(b.s
 SELECT id1, id2, CASE WHEN n > 0 THEN round(same / n::DOUBLE, 6) END AS identity, same * 5 - (n - same) * 4 AS score FROM o"""
 )
 def ungapped_identity_whole(spark, sf_dir):
-    """ungapped_identity over the whole overlap of each pair, without a least length; the identity of an empty overlap is null."""
+    """Identity and score over the whole overlap of each pair, without a least length; the identity of an empty overlap is null."""
     rows = proteins(spark, sf_dir, "benchmark", "item_id")
     a, b = rows.select(F.col("seq_id").alias("id1"), F.col("seq").alias("a")), rows.select(F.col("seq_id").alias("id2"), F.col("seq").alias("b"))
     pairs = a.join(F.broadcast(b), F.col("id1") < F.col("id2")).withColumn("n", F.least(F.length("a"), F.length("b")))
